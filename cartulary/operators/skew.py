@@ -60,9 +60,8 @@ def lookup_join(
         return rows.join(lookup, F.col(row_key) == F.col(lookup_key), how).drop(lookup_key)
     salts = tuning.lookup_salts
     salted_rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
-    salted_lookup = lookup.withColumn(
-        "__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint")
-    )
+    every_salt = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    salted_lookup = lookup.withColumn("__copy", F.explode(every_salt))
     condition = (F.col(row_key) == F.col(lookup_key)) & (F.col("__salt") == F.col("__copy"))
     return salted_rows.join(salted_lookup, condition, how).drop(lookup_key, "__salt", "__copy")
 
