@@ -8,7 +8,7 @@ compact JSON.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -91,6 +91,28 @@ def _quoted(variant: Column, field: Field) -> Column:
     return F.when(~is_container, F.try_variant_get(variant, f"$.{field.path}", "string"))
 
 
+def may_mention(doc: Column | str, word: str) -> Column:
+    """False only for documents in which no string can contain ``word``.
+
+    A cheap test to put before a parse. JSON text spells ASCII letters as they are, unless it
+    escapes them, so a document with any escape of that kind passes.
+    """
+    text = F.col(doc) if isinstance(doc, str) else doc
+    return text.contains(word) | text.contains("\\u")
+
+
+def read_for_filter(df: DataFrame, keep: Sequence[str], fields: Sequence[Field]) -> DataFrame:
+    """As ``read_fields`` for one document, when filters on the fields follow.
+
+    The parsed document comes out of a generator, below which no filter is pushed. Otherwise
+    the optimizer would copy the parse into every condition on a field.
+    """
+    (doc,) = {field.doc for field in fields}
+    parsed = F.from_json(doc, document_schema([f.path for f in fields]))
+    rows = df.select(*keep, F.explode(F.array(parsed)).alias("__doc"))
+    return rows.select(*keep, *(reach(F.col("__doc"), f.path).alias(f.column) for f in fields))
+
+
 def read_fields(
     df: DataFrame,
     keep: Sequence[str],
@@ -103,7 +125,7 @@ def read_fields(
         by_doc.setdefault(field.doc, []).append(field)
 
     parsed: list[Column] = []
-    leaves: Mapping[str, Column] = {}
+    leaves: dict[str, Column] = {}
     for doc, wanted in by_doc.items():
         holder = f"__{doc}"
         if semantics.json_quoted:

@@ -66,28 +66,31 @@ def lookup_join(
     return salted_rows.join(salted_lookup, condition, how).drop(lookup_key, "__salt", "__copy")
 
 
+def key_counts(rows: DataFrame, key: str, count: str = "n_rows") -> DataFrame:
+    """Rows per key, NULL keys left out; combined before the shuffle."""
+    return (
+        rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(count))
+    )
+
+
 def hot_keys(
-    rows: DataFrame,
+    counts: DataFrame,
     key: str,
+    count: str = "n_rows",
     piece_rows: int | None = None,
     tuning: Tuning = DEFAULT_TUNING,
 ) -> DataFrame:
-    """``(hot_key, pieces)`` of the keys with at least ``piece_rows`` rows.
+    """``(hot_key, pieces)`` of the keys that count at least ``piece_rows`` rows.
 
     Exact counts with a total order, so a recomputed task sees the same keys.
     """
     size = tuning.hot_rows if piece_rows is None else piece_rows
+    pieces = F.least(F.ceil(F.col(count) / size), F.lit(tuning.max_salts)).cast("int")
     return (
-        rows.where(F.col(key).isNotNull())
-        .groupBy(F.col(key).alias("hot_key"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= size)
-        .orderBy(F.col("n").desc(), F.col("hot_key"))
+        counts.where(F.col(count) >= size)
+        .orderBy(F.col(count).desc(), F.col(key))
         .limit(tuning.hot_keys)
-        .select(
-            "hot_key",
-            F.least(F.ceil(F.col("n") / size), F.lit(tuning.max_salts)).cast("int").alias("pieces"),
-        )
+        .select(F.col(key).alias("hot_key"), pieces.alias("pieces"))
     )
 
 
@@ -120,24 +123,24 @@ def replicate_hot(df: DataFrame, key: str, hot: DataFrame, salt: str = "salt") -
 def fan_out_join(
     left: DataFrame,
     right: DataFrame,
-    left_key: str,
-    right_key: str,
+    key: str,
     left_by: Sequence[str],
     right_by: Sequence[str],
+    right_counts: DataFrame | None = None,
     tuning: Tuning = DEFAULT_TUNING,
 ) -> DataFrame:
-    """Inner join in which a key may be hot on either side; drops the right key."""
-    hot_left = hot_keys(left, left_key, tuning=tuning)
-    hot_right = hot_keys(right, right_key, tuning=tuning)
+    """Inner join on ``key``, which may be hot on either side.
+
+    The rows of a key hot on one side are split into pieces and the other side's rows of that
+    key are repeated for each. ``*_by`` are columns that tell the rows of a key apart.
+    """
+    hot_left = hot_keys(key_counts(left, key), key, tuning=tuning)
+    counted = key_counts(right, key) if right_counts is None else right_counts
+    hot_right = hot_keys(counted, key, tuning=tuning)
     split_left = replicate_hot(
-        spread_hot(left, left_key, hot_left, left_by, "__l"), left_key, hot_right, "__r"
+        spread_hot(left, key, hot_left, left_by, "__l"), key, hot_right, "__r"
     )
     split_right = replicate_hot(
-        spread_hot(right, right_key, hot_right, right_by, "__r2"), right_key, hot_left, "__l2"
-    )
-    condition = (
-        (F.col(left_key) == F.col(right_key))
-        & (F.col("__l") == F.col("__l2"))
-        & (F.col("__r") == F.col("__r2"))
+        spread_hot(right, key, hot_right, right_by, "__r"), key, hot_left, "__l"
     )
-    return split_left.join(split_right, condition).drop(right_key, "__l", "__r", "__l2", "__r2")
+    return split_left.join(split_right, [key, "__l", "__r"]).drop("__l", "__r")

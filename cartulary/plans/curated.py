@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.functions.jsonx import Field, read_fields
+from cartulary.functions.jsonx import Field, may_mention, read_fields, read_for_filter
 from cartulary.operators.grain import ASSET_TAG, apply_grain
 from cartulary.operators.refs import user_lookup
-from cartulary.operators.skew import hot_keys, lookup_join, replicate_hot, spread_hot
+from cartulary.operators.skew import (
+    hot_keys,
+    key_counts,
+    lookup_join,
+    replicate_hot,
+    spread_hot,
+)
 from cartulary.plans.entities import DATASETS, Report, attach_references, own_columns
 from cartulary.semantics import DEFAULT_TUNING, VARIANT, Semantics, Tuning
 from cartulary.sources.catalog import Catalog
@@ -23,18 +29,21 @@ DESCRIPTION_CARD = "ASSET_DESCRIPTION"
 
 
 def description_cards(cards: DataFrame) -> DataFrame:
-    """``card_id, anchor_id, card_description, actor`` of the cards that describe an asset."""
-    parsed = read_fields(
-        cards.withColumnRenamed("id", "card_id"),
+    """``card_id, id, card_description, actor`` of the cards that describe an asset ``id``."""
+    parsed = read_for_filter(
+        cards.where(may_mention("knowledge_card_info", DESCRIPTION_CARD)).withColumnRenamed(
+            "id", "card_id"
+        ),
         ["card_id"],
         [
-            Field("anchor_id", "knowledge_card_info", "anchorEntityId"),
+            Field("id", "knowledge_card_info", "anchorEntityId"),
             Field("card_type", "knowledge_card_info", "detail.type"),
             Field("card_description", "knowledge_card_info", "detail.assetDescription.description"),
             Field("actor", "knowledge_card_info", "created.actor"),
         ],
     )
-    return parsed.where(F.col("card_type") == DESCRIPTION_CARD).drop("card_type")
+    is_description = F.col("card_type") == DESCRIPTION_CARD
+    return parsed.where(is_description & F.col("id").isNotNull()).drop("card_type")
 
 
 def _entry(description: Column, source: Column) -> Column:
@@ -45,12 +54,23 @@ def _entry(description: Column, source: Column) -> Column:
     ))
 
 
+@dataclass(frozen=True)
+class _Cards:
+    """Description cards, their number per asset, and the assets with very many."""
+
+    rows: DataFrame
+    counts: DataFrame
+    hot: DataFrame
+
+
+def _cards(cards: DataFrame, tuning: Tuning) -> _Cards:
+    rows = description_cards(cards)
+    counts = key_counts(rows, "id", "n_cards")
+    return _Cards(rows, counts, hot_keys(counts, "id", "n_cards", tuning=tuning))
+
+
 def _attach_cards(
-    base: DataFrame,
-    described: DataFrame,
-    users: DataFrame,
-    hot: DataFrame,
-    tuning: Tuning,
+    base: DataFrame, cards: _Cards, users: DataFrame, tuning: Tuning
 ) -> DataFrame:
     """Fan ``base(id, salt, ...)`` out over its description cards.
 
@@ -58,26 +78,16 @@ def _attach_cards(
     a hot dataset that no card fell into is dropped; a dataset without cards stays as one row.
     """
     authors = user_lookup(users).withColumnRenamed("email", "card_author")
-    written = lookup_join(described, authors, "actor", "user_key", "left", tuning).drop("actor")
-    pieces = spread_hot(written, "anchor_id", hot, ["card_id"])
-    counts = described.where(F.col("anchor_id").isNotNull()).groupBy("anchor_id").agg(
-        F.count(F.lit(1)).alias("n_cards")
-    )
-    counted = replicate_hot(counts, "anchor_id", hot).withColumnRenamed("anchor_id", "id")
+    written = lookup_join(cards.rows, authors, "actor", "user_key", "left", tuning).drop("actor")
+    pieces = spread_hot(written, "id", cards.hot, ["card_id"])
+    counted = replicate_hot(cards.counts, "id", cards.hot)
     return (
         base.join(counted, ["id", "salt"], "left")
-        .join(pieces.withColumnRenamed("anchor_id", "id"), ["id", "salt"], "left")
+        .join(pieces, ["id", "salt"], "left")
         .where(F.col("card_id").isNotNull() | F.col("n_cards").isNull())
     )
 
 
-def _described_base(
-    datasets: DataFrame, described: DataFrame, tuning: Tuning
-) -> tuple[DataFrame, DataFrame]:
-    hot = hot_keys(described, "anchor_id", tuning=tuning)
-    return replicate_hot(datasets, "id", hot), hot
-
-
 def _descriptions(own: Column) -> Column:
     """The source's description, if not empty, then the card's; NULL without either."""
     source = _entry(F.when(own != "", own), F.col("logical_id_platform"))
@@ -89,8 +99,8 @@ def _descriptions(own: Column) -> Column:
 def merged_descriptions(catalog: Catalog, tuning: Tuning = DEFAULT_TUNING) -> DataFrame:
     """``id, descriptions``, one row per dataset and description card."""
     datasets, cards, users = catalog.require("datasets", "knowledge_cards", "users")
-    described = description_cards(cards)
-    source, hot = _described_base(datasets, described, tuning)
+    described = _cards(cards, tuning)
+    source = replicate_hot(datasets, "id", described.hot)
     base = read_fields(
         source,
         ["id", "salt"],
@@ -99,7 +109,7 @@ def merged_descriptions(catalog: Catalog, tuning: Tuning = DEFAULT_TUNING) -> Da
             Field("logical_id_platform", "logical_id", "platform"),
         ],
     )
-    fanned = _attach_cards(base, described, users, hot, tuning)
+    fanned = _attach_cards(base, described, users, tuning)
     return fanned.select("id", _descriptions(F.col("own_description")).alias("descriptions"))
 
 
@@ -121,15 +131,15 @@ def curated_dataset_report(
         raise ValueError(f"tag_name_copies must be {REPEATED!r} or {ONCE!r}")
     datasets, cards, users = catalog.require("datasets", "knowledge_cards", "users")
     production = datasets.where(F.col("is_non_prod") == F.lit(False))
-    described = description_cards(cards)
-    source, hot = _described_base(production, described, tuning)
+    described = _cards(cards, tuning)
+    source = replicate_hot(production, "id", described.hot)
 
     keys = ("id", "salt")
     base = own_columns(source, _without_metadata(), extra=["is_non_prod", "salt"]).where(
         F.col("schema_fields").isNotNull()
     )
     attached = attach_references(base, source, catalog, keys, VARIANT, tuning)
-    fanned = _attach_cards(attached, described, users, hot, tuning)
+    fanned = _attach_cards(attached, described, users, tuning)
 
     described_text = F.to_json(_descriptions(F.col("schema_description")))
     report = fanned.withColumn("schema_description", described_text)

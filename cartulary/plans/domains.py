@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.functions.arrays import collect, make_object, null_if_empty
-from cartulary.functions.jsonx import Field, read_fields, text_at
+from cartulary.functions.jsonx import Field, may_mention, read_fields, read_for_filter, text_at
 from cartulary.operators.refs import (
     contacts_long,
     follower_ids,
@@ -22,6 +22,7 @@ from cartulary.operators.refs import (
 from cartulary.operators.skew import (
     fan_out_join,
     hot_keys,
+    key_counts,
     lookup_join,
     replicate_hot,
     spread_hot,
@@ -188,32 +189,38 @@ def domain_creator(
 
 
 def _described_cards(cards: DataFrame) -> DataFrame:
-    """Cards of any type that carry a description."""
-    parsed = read_fields(
-        cards.withColumnRenamed("id", "card_id"),
+    """Cards of any type that carry a description, by the ``id`` they are about."""
+    parsed = read_for_filter(
+        cards.where(may_mention("knowledge_card_info", "assetDescription")).withColumnRenamed(
+            "id", "card_id"
+        ),
         ["card_id"],
         [
-            Field("anchor_id", "knowledge_card_info", "anchorEntityId"),
+            Field("id", "knowledge_card_info", "anchorEntityId"),
             Field("card_description", "knowledge_card_info", "detail.assetDescription.description"),
         ],
     )
-    return parsed.where(F.col("card_description").isNotNull() & F.col("anchor_id").isNotNull())
+    return parsed.where(F.col("card_description").isNotNull() & F.col("id").isNotNull())
 
 
-def _fan_out_descriptions(base: DataFrame, cards: DataFrame, tuning: Tuning) -> DataFrame:
+def _fan_out_descriptions(
+    base: DataFrame, cards: DataFrame, owners: DataFrame, tuning: Tuning
+) -> DataFrame:
     """Left-join description cards onto ``base(id, ...)``, adding ``card_description``.
 
-    A namespace with very many cards is split into pieces of its cards. A piece that no card
-    fell into is dropped: whether a namespace has cards at all is known from their count.
+    Only cards about one of the ``owners(id)`` are looked at. A namespace with very many cards
+    is split into pieces of its cards, and a piece that no card fell into is dropped.
     """
-    described = _described_cards(cards)
-    hot = hot_keys(described, "anchor_id", tuning=tuning)
+    namespace_cards = lookup_join(
+        _described_cards(cards), owners.select(F.col("id").alias("owner")), "id", "owner", tuning=tuning
+    )
+    hot = hot_keys(key_counts(namespace_cards, "id"), "id", tuning=tuning)
     is_split = hot.select(F.col("hot_key"), F.lit(True).alias("split"))
-    pieces = spread_hot(described, "anchor_id", hot, ["card_id"])
+    pieces = spread_hot(namespace_cards, "id", hot, ["card_id"])
     return (
         replicate_hot(base, "id", hot)
         .join(F.broadcast(is_split), F.col("id") == F.col("hot_key"), "left")
-        .join(pieces.withColumnRenamed("anchor_id", "id"), ["id", "salt"], "left")
+        .join(pieces, ["id", "salt"], "left")
         .where(F.col("card_id").isNotNull() | F.col("split").isNull())
         .drop("salt", "split", "hot_key", "card_id")
     )
@@ -225,18 +232,21 @@ def domain_description(catalog: Catalog, tuning: Tuning = DEFAULT_TUNING) -> Dat
     base = namespaces.select(
         "id", text_at("namespace_info", "description.text").alias("ns_description")
     )
-    return _fan_out_descriptions(base, cards, tuning).select(
+    return _fan_out_descriptions(base, cards, namespaces, tuning).select(
         "id", F.coalesce("ns_description", "card_description").alias("description")
     )
 
 
 def curated_query_cards(cards: DataFrame) -> DataFrame:
-    """``card_id, anchor_id, title, explanation, query`` of live cards marked as curated."""
-    parsed = read_fields(
-        cards.where(F.col("deleted_at").isNull()).withColumnRenamed("id", "card_id"),
+    """``card_id, asset, title, explanation, query`` of live cards marked as curated."""
+    live = cards.where(
+        F.col("deleted_at").isNull() & may_mention("knowledge_card_info", QUERY_CARD)
+    )
+    parsed = read_for_filter(
+        live.withColumnRenamed("id", "card_id"),
         ["card_id"],
         [
-            Field("anchor_id", "knowledge_card_info", "anchorEntityId"),
+            Field("asset", "knowledge_card_info", "anchorEntityId"),
             Field("card_type", "knowledge_card_info", "detail.type"),
             Field("curated", "knowledge_card_info", "detail.query.isMarkedAsCurated"),
             Field("title", "knowledge_card_info", "detail.query.title"),
@@ -253,6 +263,11 @@ def curated_query_cards(cards: DataFrame) -> DataFrame:
     ).drop("card_type", "curated")
 
 
+def _filled_query_cards(cards: DataFrame) -> DataFrame:
+    filled = F.coalesce("title", "explanation", "query").isNotNull()
+    return curated_query_cards(cards).where(filled & F.col("asset").isNotNull())
+
+
 def domain_queries_long(
     catalog: Catalog, tuning: Tuning = DEFAULT_TUNING
 ) -> DataFrame:
@@ -261,15 +276,9 @@ def domain_queries_long(
     Adds ``card_id``. Queries with neither title, explanation nor text are left out.
     """
     domain_assets, cards = catalog.require("domain_assets", "knowledge_cards")
-    filled = F.coalesce("title", "explanation", "query").isNotNull()
+    listed = _asset_ids(domain_assets).where(F.col("asset").isNotNull())
     return fan_out_join(
-        _asset_ids(domain_assets).where(F.col("asset").isNotNull()),
-        curated_query_cards(cards).where(filled & F.col("anchor_id").isNotNull()),
-        "asset",
-        "anchor_id",
-        ["id"],
-        ["card_id"],
-        tuning,
+        listed, _filled_query_cards(cards), "asset", ["id"], ["card_id"], tuning=tuning
     )
 
 
@@ -279,20 +288,30 @@ def domain_top_queries(
     """``id, top_queries``: per namespace the curated queries of its assets, NULL if none.
 
     Nothing bounds the queries of one namespace, so the list of a namespace with more than
-    ``tuning.part_rows`` queries comes as several rows, each with a part of it.
+    ``tuning.part_rows`` queries comes as several rows, each with a part of it. How many there
+    will be is added up from the queries per asset, before any of them is joined.
     """
-    (domain_assets,) = catalog.require("domain_assets")
-    queries = domain_queries_long(catalog, tuning)
+    domain_assets, cards = catalog.require("domain_assets", "knowledge_cards")
+    listed = _asset_ids(domain_assets)
+    known = listed.where(F.col("asset").isNotNull())
+    queries = _filled_query_cards(cards)
+    per_asset = key_counts(queries, "asset")
+    per_namespace = (
+        lookup_join(known, per_asset.withColumnRenamed("asset", "counted"), "asset", "counted", tuning=tuning)
+        .groupBy("id")
+        .agg(F.sum("n_rows").alias("n_queries"))
+    )
+    long_lists = hot_keys(per_namespace, "id", "n_queries", tuning.part_rows, tuning)
+
     entry = make_object({n: F.col(n) for n in ("title", "explanation", "query")}, semantics)
-    long_lists = hot_keys(queries, "id", tuning.part_rows, tuning)
+    found = fan_out_join(known, queries, "asset", ["id"], ["card_id"], per_asset, tuning)
     parts = (
-        spread_hot(queries, "id", long_lists, ["card_id", "asset"], "part")
+        spread_hot(found, "id", long_lists, ["card_id", "asset"], "part")
         .groupBy("id", "part")
         .agg(collect(entry, semantics).alias("top_queries"))
         .drop("part")
     )
-    listed = _asset_ids(domain_assets).select("id").distinct()
-    return listed.join(parts, "id", "left").select(
+    return listed.select("id").distinct().join(parts, "id", "left").select(
         "id", null_if_empty(F.col("top_queries")).alias("top_queries")
     )
 
@@ -315,7 +334,7 @@ def domain_report(
         domain_top_queries(catalog, semantics, tuning),
     ):
         base = base.join(side, "id", "left")
-    return _fan_out_descriptions(base, cards, tuning).select(
+    return _fan_out_descriptions(base, cards, live, tuning).select(
         *_classified(),
         F.col("id").alias("domain_id"),
         F.col("last_modified_at").alias("last_modified"),

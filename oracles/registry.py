@@ -34,16 +34,29 @@ def comparable(df: DataFrame, keep_nulls: bool = False) -> DataFrame:
     return df.withColumns(arrays) if arrays else df
 
 
-def _catalog(run: Callable[[Catalog], DataFrame], keep_nulls: bool = False):
-    return lambda spark, sf_dir: comparable(run(derived_catalog(spark, sf_dir)), keep_nulls)
+def _catalog(run: Callable[[Catalog], DataFrame], tables: str, keep_nulls: bool = False):
+    names = tables.split()
+    return lambda spark, sf_dir: comparable(
+        run(derived_catalog(spark, sf_dir, *names)), keep_nulls
+    )
 
 
 def _events(run: Callable[[DataFrame], DataFrame]):
     return lambda spark, sf_dir: run(derived_events(spark, sf_dir))
 
 
-def _presto(report):
-    return _catalog(lambda t: report(t, semantics=c.PRESTO), keep_nulls=True)
+def _presto(report, tables: str):
+    return _catalog(lambda t: report(t, semantics=c.PRESTO), tables, keep_nulls=True)
+
+
+_LOOKUPS = "users user_defined_resource"
+_DATASETS = f"datasets {_LOOKUPS}"
+_DASHBOARDS = f"dashboards {_LOOKUPS}"
+_VIEWS = f"virtual_views {_LOOKUPS}"
+_CARDS = f"knowledge_cards {_LOOKUPS}"
+_NAMESPACES = f"namespaces {_LOOKUPS}"
+_CURATED = f"datasets knowledge_cards {_LOOKUPS}"
+_DOMAINS = f"namespaces domain_assets knowledge_cards datasets dashboards virtual_views {_LOOKUPS}"
 
 
 def _merged(t: Catalog) -> DataFrame:
@@ -78,56 +91,75 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "event_type_properties": _events(c.event_type_properties),
         "sample_events": _events(c.sample_events),
         # references
-        "explode_tags": _catalog(lambda t: refs.tag_ids(t.datasets)),
-        "explode_followers": _catalog(lambda t: refs.follower_ids(t.datasets)),
+        "explode_tags": _catalog(lambda t: refs.tag_ids(t.datasets), "datasets"),
+        "explode_followers": _catalog(lambda t: refs.follower_ids(t.datasets), "datasets"),
         "resolve_tags": _catalog(
             lambda t: refs.resolve_tags(
                 refs.tag_ids(t.datasets), t.user_defined_resource, description=True
-            )
+            ),
+            _DATASETS,
+        ),
+        "tag_names": _catalog(
+            lambda t: refs.tag_names(t.datasets, t.user_defined_resource), _DATASETS
+        ),
+        "followers_emails": _catalog(
+            lambda t: refs.follower_emails(t.datasets, t.users), _DATASETS
+        ),
+        "contacts_long": _catalog(
+            lambda t: refs.contacts_long(t.knowledge_cards), "knowledge_cards"
         ),
-        "tag_names": _catalog(lambda t: refs.tag_names(t.datasets, t.user_defined_resource)),
-        "followers_emails": _catalog(lambda t: refs.follower_emails(t.datasets, t.users)),
-        "contacts_long": _catalog(lambda t: refs.contacts_long(t.knowledge_cards)),
         "contacts_info": _catalog(
-            lambda t: refs.contacts_info(t.datasets, t.user_defined_resource, t.users)
+            lambda t: refs.contacts_info(t.datasets, t.user_defined_resource, t.users), _DATASETS
         ),
-        "creator_email": _catalog(lambda t: refs.creator_email(t.knowledge_cards, t.users)),
-        "search_keywords": _catalog(lambda t: refs.search_keywords(t.users)),
-        "tag_window_grain": _catalog(_names_only("asset_tag")),
-        "tag_asset_grain": _catalog(_names_only("asset")),
+        "creator_email": _catalog(
+            lambda t: refs.creator_email(t.knowledge_cards, t.users), "knowledge_cards users"
+        ),
+        "search_keywords": _catalog(lambda t: refs.search_keywords(t.users), "users"),
+        "tag_window_grain": _catalog(_names_only("asset_tag"), _DATASETS),
+        "tag_asset_grain": _catalog(_names_only("asset"), _DATASETS),
         # entity reports
-        "dataset_report": _catalog(c.dataset_report),
-        "dataset_report_by_asset": _catalog(lambda t: c.dataset_report(t, grain="asset")),
-        "dataset_report_presto": _presto(c.dataset_report),
-        "dashboard_report": _catalog(c.dashboard_report),
-        "dashboard_report_presto": _presto(c.dashboard_report),
-        "virtual_view_report": _catalog(c.virtual_view_report),
-        "virtual_view_report_presto": _presto(c.virtual_view_report),
-        "knowledge_card_report": _catalog(c.knowledge_card_report),
-        "knowledge_card_report_presto": _presto(c.knowledge_card_report),
-        "user_report": _catalog(c.user_report),
-        "user_report_presto": _presto(c.user_report),
+        "dataset_report": _catalog(c.dataset_report, _DATASETS),
+        "dataset_report_by_asset": _catalog(
+            lambda t: c.dataset_report(t, grain="asset"), _DATASETS
+        ),
+        "dataset_report_presto": _presto(c.dataset_report, _DATASETS),
+        "dashboard_report": _catalog(c.dashboard_report, _DASHBOARDS),
+        "dashboard_report_presto": _presto(c.dashboard_report, _DASHBOARDS),
+        "virtual_view_report": _catalog(c.virtual_view_report, _VIEWS),
+        "virtual_view_report_presto": _presto(c.virtual_view_report, _VIEWS),
+        "knowledge_card_report": _catalog(c.knowledge_card_report, _CARDS),
+        "knowledge_card_report_presto": _presto(c.knowledge_card_report, _CARDS),
+        "user_report": _catalog(c.user_report, "users"),
+        "user_report_presto": _presto(c.user_report, "users"),
         # curated datasets
-        "merged_descriptions": _catalog(_merged),
-        "curated_dataset_report": _catalog(c.curated_dataset_report),
+        "merged_descriptions": _catalog(_merged, "datasets knowledge_cards users"),
+        "curated_dataset_report": _catalog(c.curated_dataset_report, _CURATED),
         "curated_dataset_report_once": _catalog(
             lambda t: c.curated_dataset_report(
                 t, grain="asset", ordered=False, tag_name_copies="once"
-            )
+            ),
+            _CURATED,
         ),
         # domains
-        "domain_classification": _catalog(lambda t: c.domain_classification(t.namespaces)),
+        "domain_classification": _catalog(
+            lambda t: c.domain_classification(t.namespaces), "namespaces"
+        ),
         "domain_asset_details": _catalog(
-            lambda t: c.domain_asset_details(t.domain_assets, t.namespaces)
+            lambda t: c.domain_asset_details(t.domain_assets, t.namespaces),
+            "domain_assets namespaces",
+        ),
+        "domain_asset_names": _catalog(
+            c.domain_asset_names, "domain_assets datasets dashboards virtual_views"
+        ),
+        "domain_descendants": _catalog(
+            lambda t: c.domain_descendants(t.domain_assets), "domain_assets"
         ),
-        "domain_asset_names": _catalog(c.domain_asset_names),
-        "domain_descendants": _catalog(lambda t: c.domain_descendants(t.domain_assets)),
-        "domain_tags": _catalog(c.domain_tags),
-        "domain_followers": _catalog(c.domain_followers),
-        "domain_contacts": _catalog(c.domain_contacts),
-        "domain_creator": _catalog(c.domain_creator),
-        "domain_description": _catalog(c.domain_description),
-        "domain_queries_long": _catalog(c.domain_queries_long),
-        "domain_top_queries": _catalog(c.domain_top_queries),
-        "domain_report": _catalog(c.domain_report),
+        "domain_tags": _catalog(c.domain_tags, _NAMESPACES),
+        "domain_followers": _catalog(c.domain_followers, _NAMESPACES),
+        "domain_contacts": _catalog(c.domain_contacts, _NAMESPACES),
+        "domain_creator": _catalog(c.domain_creator, _NAMESPACES),
+        "domain_description": _catalog(c.domain_description, "namespaces knowledge_cards"),
+        "domain_queries_long": _catalog(c.domain_queries_long, "domain_assets knowledge_cards"),
+        "domain_top_queries": _catalog(c.domain_top_queries, "domain_assets knowledge_cards"),
+        "domain_report": _catalog(c.domain_report, _DOMAINS),
     }
