@@ -1,30 +1,27 @@
-"""Objects and the arrays that collect them."""
+"""Objects and the arrays that collect them, as SQL expressions."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from cartulary.semantics import VARIANT, Semantics
 
 
-def make_object(fields: Mapping[str, Column], semantics: Semantics = VARIANT) -> Column:
-    """One object; never NULL, even when all its fields are."""
-    record = F.struct(*(value.alias(name) for name, value in fields.items()))
+def make_object(fields: Mapping[str, str], semantics: Semantics = VARIANT) -> str:
+    """One object of named expressions; never NULL, even when all its fields are."""
+    members = ", ".join(f"'{name}', {value}" for name, value in fields.items())
+    record = f"named_struct({members})"
     if semantics.keep_null_fields:
-        return F.to_json(record, {"ignoreNullFields": "false"})
+        return f"to_json({record}, map('ignoreNullFields', 'false'))"
     return record
 
 
-def collect(value: Column, semantics: Semantics = VARIANT) -> Column:
-    """Aggregate ``value`` into an array, skipping NULLs unless they are kept."""
+def collect(value: str, semantics: Semantics = VARIANT) -> str:
+    """Aggregate of ``value`` into an array, skipping NULLs unless they are kept."""
     if semantics.keep_null_elements:
-        wrapped = F.collect_list(F.struct(value.alias("e")))
-        return F.transform(wrapped, lambda x: x.getField("e"))
-    return F.collect_list(value)
+        return f"transform(collect_list(struct({value} AS e)), x -> x.e)"
+    return f"collect_list({value})"
 
 
-def null_if_empty(array: Column) -> Column:
-    return F.when(F.size(array) > 0, array)
+def null_if_empty(array: str) -> str:
+    return f"CASE WHEN size({array}) > 0 THEN {array} END"

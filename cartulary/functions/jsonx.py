@@ -11,9 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame
 
 from cartulary.semantics import VARIANT, Semantics
 
@@ -35,16 +33,16 @@ class Field:
     kind: str = SCALAR
 
 
-def _steps(path: str) -> list[tuple[str, int | None]]:
-    steps = []
-    for part in path.split("."):
-        name, bracket, index = part.partition("[")
-        steps.append((name, int(index.rstrip("]")) if bracket else None))
-    return steps
+def quote(name: str) -> str:
+    return f"`{name}`"
+
 
+def document_schema(paths: Sequence[str]) -> str:
+    """Smallest schema, as DDL, that reaches every path; leaves are strings."""
+    return ", ".join(f"{name} {kind}" for name, kind in _schema_fields(paths))
 
-def document_schema(paths: Sequence[str]) -> T.StructType:
-    """Smallest schema that reaches every path; leaves are strings."""
+
+def _schema_fields(paths: Sequence[str]) -> list[tuple[str, str]]:
     children: dict[tuple[str, bool], list[str]] = {}
     for path in paths:
         head, _, rest = path.partition(".")
@@ -58,47 +56,56 @@ def document_schema(paths: Sequence[str]) -> T.StructType:
         inner = [rest for rest in rests if rest]
         if inner and len(inner) != len(rests):
             raise ValueError(f"{name!r} is read both as text and as an object")
-        leaf = document_schema(inner) if inner else T.StringType()
-        fields.append(T.StructField(name, T.ArrayType(leaf) if is_array else leaf))
-    return T.StructType(fields)
+        kind = "STRING"
+        if inner:
+            members = ", ".join(f"{member}: {of}" for member, of in _schema_fields(inner))
+            kind = f"STRUCT<{members}>"
+        fields.append((quote(name), f"ARRAY<{kind}>" if is_array else kind))
+    return fields
 
 
-def reach(parsed: Column, path: str) -> Column:
-    """Value at ``path`` of a document parsed with ``document_schema``."""
-    for name, index in _steps(path):
-        parsed = parsed.getField(name)
-        if index is not None:
-            parsed = F.get(parsed, F.lit(index))
+def reach(parsed: str, path: str) -> str:
+    """Expression for the value at ``path`` of a document parsed with ``document_schema``."""
+    for part in path.split("."):
+        name, bracket, index = part.partition("[")
+        parsed = f"{parsed}.{quote(name)}"
+        if bracket:
+            parsed = f"get({parsed}, {int(index.rstrip(']'))})"
     return parsed
 
 
-def text_at(doc: Column | str, path: str) -> Column:
-    """Text at one path of a document that is read for nothing else."""
-    return F.get_json_object(doc, f"$.{path}")
+def parse(doc: str, paths: Sequence[str]) -> str:
+    return f"from_json({quote(doc)}, '{document_schema(paths)}')"
+
+
+def text_at(doc: str, path: str) -> str:
+    """Expression for the text at one path of a document that is read for nothing else."""
+    return f"get_json_object({quote(doc)}, '$.{path}')"
 
 
-def text_array(doc: Column | str, name: str) -> Column:
-    """Array under ``name`` with each element as text; NULL unless it is an array."""
-    schema = T.StructType([T.StructField(name, T.ArrayType(T.StringType()))])
-    return F.from_json(doc, schema).getField(name)
+def text_array(doc: str, name: str) -> str:
+    """Expression for the array under ``name`` with each element as text.
+
+    NULL unless it is an array.
+    """
+    return f"from_json({quote(doc)}, '{quote(name)} ARRAY<STRING>').{quote(name)}"
 
 
-def _quoted(variant: Column, field: Field) -> Column:
-    as_json = F.to_json(F.try_variant_get(variant, f"$.{field.path}", "variant"))
+def _quoted(variant: str, field: Field) -> str:
+    as_json = f"to_json(try_variant_get({variant}, '$.{field.path}', 'variant'))"
     if field.kind == VALUE:
-        return F.when(as_json != "null", as_json)
-    is_container = as_json.startswith("{") | as_json.startswith("[")
-    return F.when(~is_container, F.try_variant_get(variant, f"$.{field.path}", "string"))
+        return f"nullif({as_json}, 'null')"
+    as_text = f"try_variant_get({variant}, '$.{field.path}', 'string')"
+    return f"CASE WHEN left({as_json}, 1) NOT IN ('{{', '[') THEN {as_text} END"
 
 
-def may_mention(doc: Column | str, word: str) -> Column:
-    """False only for documents in which no string can contain ``word``.
+def may_mention(doc: str, word: str) -> str:
+    """Condition that is false only for documents in which no string can contain ``word``.
 
     A cheap test to put before a parse. JSON text spells ASCII letters as they are, unless it
     escapes them, so a document with any escape of that kind passes.
     """
-    text = F.col(doc) if isinstance(doc, str) else doc
-    return text.contains(word) | text.contains("\\u")
+    return f"(contains({quote(doc)}, '{word}') OR contains({quote(doc)}, concat(chr(92), 'u')))"
 
 
 def read_for_filter(df: DataFrame, keep: Sequence[str], fields: Sequence[Field]) -> DataFrame:
@@ -108,9 +115,10 @@ def read_for_filter(df: DataFrame, keep: Sequence[str], fields: Sequence[Field])
     the optimizer would copy the parse into every condition on a field.
     """
     (doc,) = {field.doc for field in fields}
-    parsed = F.from_json(doc, document_schema([f.path for f in fields]))
-    rows = df.select(*keep, F.explode(F.array(parsed)).alias("__doc"))
-    return rows.select(*keep, *(reach(F.col("__doc"), f.path).alias(f.column) for f in fields))
+    parsed = f"explode(array({parse(doc, [f.path for f in fields])})) AS __doc"
+    leaves = [f"{reach('__doc', f.path)} AS {quote(f.column)}" for f in fields]
+    kept = [quote(name) for name in keep]
+    return df.selectExpr(*kept, parsed).selectExpr(*kept, *leaves)
 
 
 def read_fields(
@@ -124,20 +132,20 @@ def read_fields(
     for field in fields:
         by_doc.setdefault(field.doc, []).append(field)
 
-    parsed: list[Column] = []
-    leaves: dict[str, Column] = {}
+    parsed: list[str] = []
+    leaves: dict[str, str] = {}
     for doc, wanted in by_doc.items():
-        holder = f"__{doc}"
+        holder = quote(f"__{doc}")
         if semantics.json_quoted:
-            parsed.append(F.try_parse_json(doc).alias(holder))
-            leaves |= {f.column: _quoted(F.col(holder), f) for f in wanted}
+            parsed.append(f"try_parse_json({quote(doc)}) AS {holder}")
+            leaves |= {f.column: _quoted(holder, f) for f in wanted}
         elif len(wanted) == 1:
-            parsed.append(text_at(doc, wanted[0].path).alias(holder))
-            leaves[wanted[0].column] = F.col(holder)
+            parsed.append(f"{text_at(doc, wanted[0].path)} AS {holder}")
+            leaves[wanted[0].column] = holder
         else:
-            schema = document_schema([f.path for f in wanted])
-            parsed.append(F.from_json(doc, schema).alias(holder))
-            leaves |= {f.column: reach(F.col(holder), f.path) for f in wanted}
-    return df.select(*keep, *parsed).select(
-        *keep, *(leaves[f.column].alias(f.column) for f in fields)
+            parsed.append(f"{parse(doc, [f.path for f in wanted])} AS {holder}")
+            leaves |= {f.column: reach(holder, f.path) for f in wanted}
+    kept = [quote(name) for name in keep]
+    return df.selectExpr(*kept, *parsed).selectExpr(
+        *kept, *(f"{leaves[f.column]} AS {quote(f.column)}" for f in fields)
     )

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from cartulary.functions.jsonx import quote
 from cartulary.semantics import VARIANT, Semantics
 
 ASSET = "asset"
@@ -20,10 +20,10 @@ def apply_grain(df: DataFrame, grain: str, semantics: Semantics = VARIANT) -> Da
     """
     if grain not in (ASSET, ASSET_TAG):
         raise ValueError(f"grain must be {ASSET!r} or {ASSET_TAG!r}, not {grain!r}")
-    nothing = F.lit(None).cast("string")
-    empty = F.array(nothing) if semantics.keep_null_elements else F.array().cast("array<string>")
-    named = df.withColumn("tag_names", F.coalesce("tag_names", empty))
-    if grain == ASSET_TAG:
-        repeats = F.greatest(F.coalesce("n_tags", F.lit(1)), F.lit(1)).cast("int")
-        named = named.withColumn("__copy", F.explode(F.sequence(F.lit(1), repeats))).drop("__copy")
-    return named.drop("n_tags").withColumnRenamed("tag_names", "governedTagIds_tag_names")
+    empty = "array(CAST(NULL AS STRING))" if semantics.keep_null_elements else "array()"
+    kept = [quote(name) for name in df.columns if name not in ("tag_names", "n_tags")]
+    kept.append(f"coalesce(tag_names, {empty}) AS governedTagIds_tag_names")
+    if grain == ASSET:
+        return df.selectExpr(*kept)
+    copies = "explode(sequence(1, CAST(greatest(coalesce(n_tags, 1), 1) AS INT))) AS __copy"
+    return df.selectExpr(*kept, copies).drop("__copy")

@@ -13,7 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.functions.arrays import collect, make_object
-from cartulary.functions.jsonx import Field, document_schema, read_fields, text_array
+from cartulary.functions.jsonx import (
+    Field,
+    document_schema,
+    read_fields,
+    text_array,
+    text_at,
+)
 from cartulary.operators.skew import lookup_join
 from cartulary.semantics import DEFAULT_TUNING, VARIANT, Semantics, Tuning
 
@@ -24,7 +30,7 @@ def explode_ids(
     df: DataFrame, document: str, name: str, out: str, keys: Sequence[str] = ID
 ) -> DataFrame:
     """One row per element of a JSON array; entities without elements give no row."""
-    return df.select(*keys, F.explode(text_array(document, name)).alias(out))
+    return df.selectExpr(*keys, f"explode({text_array(document, name)}) AS {out}")
 
 
 def tag_ids(df: DataFrame, keys: Sequence[str] = ID) -> DataFrame:
@@ -36,36 +42,42 @@ def follower_ids(df: DataFrame, keys: Sequence[str] = ID) -> DataFrame:
 
 
 def contacts_long(df: DataFrame, keys: Sequence[str] = ID) -> DataFrame:
-    """One row per contact; an element may be an object or a string that holds one."""
-    elements = explode_ids(df, "asset_contacts", "contacts", "__contact", keys)
-    parsed = F.from_json("__contact", document_schema(["designation", "value"]))
-    return elements.select(*keys, parsed.alias("__c")).select(
-        *keys,
-        F.col("__c.designation").alias("designation_id"),
-        F.col("__c.value").alias("value_id"),
+    """One row per contact; an element may be an object or a string that holds one.
+
+    The elements are parsed inside the generator, so the join on their fields adds no parse.
+    """
+    schema = document_schema(["designation", "value"])
+    elements = text_array("asset_contacts", "contacts")
+    parsed = f"explode(transform({elements}, e -> from_json(e, '{schema}'))) AS __contact"
+    return df.selectExpr(*keys, parsed).selectExpr(
+        *keys, "__contact.designation AS designation_id", "__contact.value AS value_id"
     )
 
 
 def search_keywords(users: DataFrame, keys: Sequence[str] = ID) -> DataFrame:
     """One row per recent search; the keyword is NULL where the search has none."""
     searches = explode_ids(users, "activity", "recentSearches", "__search", keys)
-    return searches.select(*keys, F.get_json_object("__search", "$.keyword").alias("keyword"))
+    return searches.selectExpr(*keys, f"{text_at('__search', 'keyword')} AS keyword")
+
+
+# Columns a lookup of tags and designations may offer.
+_RESOURCE_FIELDS = {
+    "tag_name": Field("tag_name", "user_defined_resource_info", "name"),
+    "tag_description": Field("tag_description", "user_defined_resource_info", "description.text"),
+    "designation": Field("designation", "user_defined_resource_info", "name"),
+}
 
 
 def resource_lookup(resources: DataFrame, *columns: str) -> DataFrame:
-    fields = {
-        "tag_name": Field("tag_name", "user_defined_resource_info", "name"),
-        "tag_description": Field("tag_description", "user_defined_resource_info", "description.text"),
-        "designation": Field("designation", "user_defined_resource_info", "name"),
-    }
-    keyed = resources.withColumn("resource_key", F.col("id").cast("string"))
-    return read_fields(keyed, ["resource_key"], [fields[c] for c in columns])
+    """``resource_key`` and the named columns."""
+    keyed = resources.selectExpr("CAST(id AS STRING) AS resource_key", "user_defined_resource_info")
+    return read_fields(keyed, ["resource_key"], [_RESOURCE_FIELDS[c] for c in columns])
 
 
-def user_lookup(users: DataFrame, *columns: str) -> DataFrame:
-    """``user_key``, ``email`` and the named plain columns."""
-    keyed = users.withColumn("user_key", F.col("id").cast("string"))
-    return read_fields(keyed, ["user_key", *columns], [Field("email", "logical_id", "email")])
+def user_lookup(users: DataFrame, *columns: str, email: str = "email") -> DataFrame:
+    """``user_key``, the named plain columns and the email under the given name."""
+    keyed = users.selectExpr("CAST(id AS STRING) AS user_key", *columns, "logical_id")
+    return read_fields(keyed, ["user_key", *columns], [Field(email, "logical_id", "email")])
 
 
 def resolve_tags(
@@ -114,10 +126,8 @@ def tag_names(
     The count includes tags without a name, which make a row but no element.
     """
     named = resolve_tags(tag_ids(df, keys), resources, tuning=tuning)
-    return named.groupBy(*keys).agg(
-        collect(F.col("tag_name"), semantics).alias("tag_names"),
-        F.count(F.lit(1)).alias("n_tags"),
-    )
+    names = F.expr(f"{collect('tag_name', semantics)} AS tag_names")
+    return named.groupBy(*keys).agg(names, F.expr("count(1) AS n_tags"))
 
 
 def follower_emails(
@@ -128,9 +138,8 @@ def follower_emails(
     tuning: Tuning = DEFAULT_TUNING,
 ) -> DataFrame:
     known = resolve_followers(follower_ids(df, keys), users, tuning=tuning)
-    return known.groupBy(*keys).agg(
-        collect(F.col("email"), semantics).alias("asset_followers_emails")
-    )
+    emails = F.expr(f"{collect('email', semantics)} AS asset_followers_emails")
+    return known.groupBy(*keys).agg(emails)
 
 
 def contacts_info(
@@ -142,18 +151,17 @@ def contacts_info(
     tuning: Tuning = DEFAULT_TUNING,
 ) -> DataFrame:
     known = resolve_contacts(contacts_long(df, keys), resources, users, tuning=tuning)
-    contact = make_object(
-        {"email": F.col("email"), "designation": F.col("designation")}, semantics
+    contact = make_object({"email": "email", "designation": "designation"}, semantics)
+    return known.groupBy(*keys).agg(
+        F.expr(f"{collect(contact, semantics)} AS asset_contacts_info")
     )
-    return known.groupBy(*keys).agg(collect(contact, semantics).alias("asset_contacts_info"))
 
 
 def creator_email(
     cards: DataFrame, users: DataFrame, tuning: Tuning = DEFAULT_TUNING
 ) -> DataFrame:
     """Cards whose creator is known: ``id, creator_id, creator_email``."""
-    created = read_fields(
-        cards, ["id"], [Field("creator_id", "knowledge_card_info", "created.actor")]
-    )
-    lookup = user_lookup(users).withColumnRenamed("email", "creator_email")
-    return lookup_join(created.withColumn("__actor", F.col("creator_id")), lookup, "__actor", "user_key", tuning=tuning).drop("__actor")
+    actor = text_at("knowledge_card_info", "created.actor")
+    created = cards.selectExpr("id", f"{actor} AS creator_id")
+    emails = user_lookup(users, email="creator_email")
+    return lookup_join(created, emails, "creator_id", "user_key", tuning=tuning)

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartulary.functions.jsonx import quote
 from cartulary.semantics import DEFAULT_TUNING, Tuning
 
 
@@ -57,20 +58,22 @@ def lookup_join(
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
     if fits_broadcast(lookup, tuning):
-        return rows.join(lookup, F.col(row_key) == F.col(lookup_key), how).drop(lookup_key)
+        condition = F.expr(f"{quote(row_key)} = {quote(lookup_key)}")
+        return rows.join(lookup, condition, how).drop(lookup_key)
     salts = tuning.lookup_salts
-    salted_rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
-    every_salt = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-    salted_lookup = lookup.withColumn("__copy", F.explode(every_salt))
-    condition = (F.col(row_key) == F.col(lookup_key)) & (F.col("__salt") == F.col("__copy"))
-    return salted_rows.join(salted_lookup, condition, how).drop(lookup_key, "__salt", "__copy")
+    content = ", ".join(quote(name) for name in rows.columns)
+    salted_rows = rows.selectExpr("*", f"pmod(xxhash64({content}), {salts}L) AS __salt")
+    salted_lookup = lookup.selectExpr("*", f"explode(sequence(0L, {salts - 1}L)) AS __copy")
+    condition = f"{quote(row_key)} = {quote(lookup_key)} AND __salt = __copy"
+    return salted_rows.join(salted_lookup, F.expr(condition), how).drop(
+        lookup_key, "__salt", "__copy"
+    )
 
 
 def key_counts(rows: DataFrame, key: str, count: str = "n_rows") -> DataFrame:
     """Rows per key, NULL keys left out; combined before the shuffle."""
-    return (
-        rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(count))
-    )
+    counted = F.expr(f"count(1) AS {count}")
+    return rows.where(f"{quote(key)} IS NOT NULL").groupBy(key).agg(counted)
 
 
 def hot_keys(
@@ -85,39 +88,34 @@ def hot_keys(
     Exact counts with a total order, so a recomputed task sees the same keys.
     """
     size = tuning.hot_rows if piece_rows is None else piece_rows
-    pieces = F.least(F.ceil(F.col(count) / size), F.lit(tuning.max_salts)).cast("int")
     return (
-        counts.where(F.col(count) >= size)
-        .orderBy(F.col(count).desc(), F.col(key))
+        counts.where(f"{count} >= {size}")
+        .orderBy(F.expr(f"{count} DESC"), key)
         .limit(tuning.hot_keys)
-        .select(F.col(key).alias("hot_key"), pieces.alias("pieces"))
+        .selectExpr(
+            f"{quote(key)} AS hot_key",
+            f"CAST(least(ceil({count} / {size}), {tuning.max_salts}) AS INT) AS pieces",
+        )
     )
 
 
 def _with_pieces(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left").drop("hot_key")
+    return df.join(F.broadcast(hot), F.expr(f"{quote(key)} = hot_key"), "left")
 
 
 def spread_hot(
     df: DataFrame, key: str, hot: DataFrame, by: Sequence[str], salt: str = "salt"
 ) -> DataFrame:
     """Give each row of a hot key one piece number, 0 for every other row."""
-    piece = F.pmod(F.xxhash64(*by), F.col("pieces")).cast("int")
-    return (
-        _with_pieces(df, key, hot)
-        .withColumn(salt, F.coalesce(piece, F.lit(0)))
-        .drop("pieces")
-    )
+    apart = ", ".join(quote(name) for name in by)
+    piece = f"coalesce(CAST(pmod(xxhash64({apart}), pieces) AS INT), 0) AS {salt}"
+    return _with_pieces(df, key, hot).selectExpr(*map(quote, df.columns), piece)
 
 
 def replicate_hot(df: DataFrame, key: str, hot: DataFrame, salt: str = "salt") -> DataFrame:
     """Repeat each row of a hot key under every piece number, others once under 0."""
-    last: Column = F.coalesce(F.col("pieces"), F.lit(1)) - 1
-    return (
-        _with_pieces(df, key, hot)
-        .withColumn(salt, F.explode(F.sequence(F.lit(0), last)))
-        .drop("pieces")
-    )
+    pieces = f"explode(sequence(0, coalesce(pieces, 1) - 1)) AS {salt}"
+    return _with_pieces(df, key, hot).selectExpr(*map(quote, df.columns), pieces)
 
 
 def fan_out_join(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.functions.jsonx import Field, may_mention, read_fields, read_for_filter
+from cartulary.functions.arrays import null_if_empty
+from cartulary.functions.jsonx import Field, may_mention, quote, read_fields, read_for_filter
 from cartulary.operators.grain import ASSET_TAG, apply_grain
 from cartulary.operators.refs import user_lookup
 from cartulary.operators.skew import (
@@ -42,16 +43,13 @@ def description_cards(cards: DataFrame) -> DataFrame:
             Field("actor", "knowledge_card_info", "created.actor"),
         ],
     )
-    is_description = F.col("card_type") == DESCRIPTION_CARD
-    return parsed.where(is_description & F.col("id").isNotNull()).drop("card_type")
+    return parsed.where(f"card_type = '{DESCRIPTION_CARD}' AND id IS NOT NULL").drop("card_type")
 
 
-def _entry(description: Column, source: Column) -> Column:
+def _entry(description: str, source: str) -> str:
     """A one-element list of a description, or an empty list."""
-    entry = F.struct(description.alias("description"), source.alias("source"))
-    return F.when(description.isNotNull(), F.array(entry)).otherwise(F.array().cast(
-        "array<struct<description:string,source:string>>"
-    ))
+    entry = f"named_struct('description', {description}, 'source', {source})"
+    return f"CASE WHEN {description} IS NOT NULL THEN array({entry}) ELSE array() END"
 
 
 @dataclass(frozen=True)
@@ -77,23 +75,22 @@ def _attach_cards(
     Adds ``n_cards`` (NULL without cards), ``card_description`` and ``card_author``. A piece of
     a hot dataset that no card fell into is dropped; a dataset without cards stays as one row.
     """
-    authors = user_lookup(users).withColumnRenamed("email", "card_author")
+    authors = user_lookup(users, email="card_author")
     written = lookup_join(cards.rows, authors, "actor", "user_key", "left", tuning).drop("actor")
     pieces = spread_hot(written, "id", cards.hot, ["card_id"])
     counted = replicate_hot(cards.counts, "id", cards.hot)
     return (
         base.join(counted, ["id", "salt"], "left")
         .join(pieces, ["id", "salt"], "left")
-        .where(F.col("card_id").isNotNull() | F.col("n_cards").isNull())
+        .where("card_id IS NOT NULL OR n_cards IS NULL")
     )
 
 
-def _descriptions(own: Column) -> Column:
+def _descriptions(own: str) -> str:
     """The source's description, if not empty, then the card's; NULL without either."""
-    source = _entry(F.when(own != "", own), F.col("logical_id_platform"))
-    user = _entry(F.col("card_description"), F.col("card_author"))
-    both = F.concat(source, user)
-    return F.when(F.size(both) > 0, both)
+    source = _entry(f"nullif({own}, '')", "logical_id_platform")
+    user = _entry("card_description", "card_author")
+    return null_if_empty(f"concat({source}, {user})")
 
 
 def merged_descriptions(catalog: Catalog, tuning: Tuning = DEFAULT_TUNING) -> DataFrame:
@@ -110,7 +107,7 @@ def merged_descriptions(catalog: Catalog, tuning: Tuning = DEFAULT_TUNING) -> Da
         ],
     )
     fanned = _attach_cards(base, described, users, tuning)
-    return fanned.select("id", _descriptions(F.col("own_description")).alias("descriptions"))
+    return fanned.selectExpr("id", f"{_descriptions('own_description')} AS descriptions")
 
 
 def curated_dataset_report(
@@ -130,24 +127,28 @@ def curated_dataset_report(
     if tag_name_copies not in (REPEATED, ONCE):
         raise ValueError(f"tag_name_copies must be {REPEATED!r} or {ONCE!r}")
     datasets, cards, users = catalog.require("datasets", "knowledge_cards", "users")
-    production = datasets.where(F.col("is_non_prod") == F.lit(False))
+    production = datasets.where("is_non_prod = FALSE")
     described = _cards(cards, tuning)
     source = replicate_hot(production, "id", described.hot)
 
     keys = ("id", "salt")
     base = own_columns(source, _without_metadata(), extra=["is_non_prod", "salt"]).where(
-        F.col("schema_fields").isNotNull()
+        "schema_fields IS NOT NULL"
     )
     attached = attach_references(base, source, catalog, keys, VARIANT, tuning)
     fanned = _attach_cards(attached, described, users, tuning)
 
-    described_text = F.to_json(_descriptions(F.col("schema_description")))
-    report = fanned.withColumn("schema_description", described_text)
+    dropped = {"salt", "card_description", "card_author", "schema_description", "tag_names"}
+    names = "tag_names"
     if tag_name_copies == REPEATED:
-        copies = F.coalesce("n_cards", F.lit(1)).cast("int")
-        repeated = F.flatten(F.array_repeat("tag_names", copies))
-        report = report.withColumn("tag_names", repeated).drop("n_cards")
-    report = apply_grain(report.drop("salt", "card_description", "card_author"), grain, VARIANT)
+        dropped.add("n_cards")
+        names = "flatten(array_repeat(tag_names, CAST(coalesce(n_cards, 1) AS INT)))"
+    report = fanned.selectExpr(
+        *(quote(name) for name in fanned.columns if name not in dropped),
+        f"to_json({_descriptions('schema_description')}) AS schema_description",
+        f"{names} AS tag_names",
+    )
+    report = apply_grain(report, grain, VARIANT)
     return (_sorted_by_description(report) if ordered else report).drop("card_id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.functions.arrays import collect, make_object, null_if_empty
@@ -39,37 +39,31 @@ _INFO_FIELDS = (
     Field("ns_name", "namespace_info", "name"),
     Field("ns_type", "namespace_info", "detail.type"),
     Field("ns_parent", "namespace_info", "parentId"),
-    Field("ns_actor", "namespace_info", "created.actor"),
     Field("ns_created", "namespace_info", "created.time"),
     Field("ns_description", "namespace_info", "description.text"),
 )
 
-
-def _named_when(condition: Column) -> Column:
-    return F.when(condition, F.col("ns_name")).otherwise(F.lit(""))
-
-
-def _classified() -> list[Column]:
-    is_group = F.col("ns_type") == DATA_GROUP
-    is_root = F.col("ns_parent").isNull()
-    return [
-        _named_when(is_group & is_root).alias("domain_name"),
-        _named_when(is_group & ~is_root).alias("subdomain_name"),
-        _named_when(F.col("ns_type") == DATA_UNIT).alias("data_product_name"),
-    ]
+_CLASSES = tuple(
+    f"CASE WHEN {condition} THEN ns_name ELSE '' END AS {name}"
+    for name, condition in (
+        ("domain_name", f"ns_type = '{DATA_GROUP}' AND ns_parent IS NULL"),
+        ("subdomain_name", f"ns_type = '{DATA_GROUP}' AND ns_parent IS NOT NULL"),
+        ("data_product_name", f"ns_type = '{DATA_UNIT}'"),
+    )
+)
 
 
 def domain_classification(namespaces: DataFrame) -> DataFrame:
     """A group without parent is a domain, with parent a sub-domain; a unit is a data product."""
     parsed = read_fields(namespaces, ["id"], _INFO_FIELDS[:3])
-    return parsed.select(F.col("id").alias("domain_id"), *_classified())
+    return parsed.selectExpr("id AS domain_id", *_CLASSES)
 
 
 def _listed_assets(domain_assets: DataFrame) -> DataFrame:
     """Distinct ``id, parent, asset``; repeats within a row go before the shuffle."""
-    both = F.array_distinct(F.concat("live_query_assets", "selected_assets"))
-    return domain_assets.select(
-        F.col("_id").alias("id"), "parent", F.explode(both.cast("array<string>")).alias("asset")
+    both = "array_distinct(concat(live_query_assets, selected_assets))"
+    return domain_assets.selectExpr(
+        "_id AS id", "parent", f"explode(CAST({both} AS ARRAY<STRING>)) AS asset"
     ).distinct()
 
 
@@ -79,12 +73,10 @@ def domain_asset_details(domain_assets: DataFrame, namespaces: DataFrame) -> Dat
     Walking the hierarchy would only repeat these rows once per ancestor before the distinct,
     so the list is read flat. A namespace with one missing list has no rows.
     """
-    names = namespaces.select(
-        F.col("id").alias("ns_id"), text_at("namespace_info", "name").alias("name")
-    )
+    names = namespaces.selectExpr("id AS ns_id", f"{text_at('namespace_info', 'name')} AS name")
     return (
         _listed_assets(domain_assets)
-        .join(names, F.col("id") == F.col("ns_id"), "left")
+        .join(names, F.expr("id = ns_id"), "left")
         .select("id", "name", "parent", "asset")
     )
 
@@ -100,28 +92,22 @@ def asset_names(assets: DataFrame, catalog: Catalog) -> DataFrame:
     The ids are made distinct first: an asset listed by very many namespaces is looked up once.
     """
     dashboards, datasets, views = catalog.require("dashboards", "datasets", "virtual_views")
-    titles = dashboards.select(
-        F.col("id").alias("dash_id"),
-        text_at("dashboard_info", "title").alias("dash_title"),
-        text_at("logical_id", "platform").alias("dash_platform"),
+    titles = dashboards.selectExpr(
+        "id AS dash_id",
+        f"{text_at('dashboard_info', 'title')} AS dash_title",
+        f"{text_at('logical_id', 'platform')} AS dash_platform",
     )
-    names = datasets.select(
-        F.col("id").alias("data_id"), text_at("logical_id", "name").alias("data_name")
-    )
-    views = views.select(
-        F.col("id").alias("view_id"), text_at("structure", "name").alias("view_name")
-    )
-    distinct = assets.select(F.col("asset").alias("asset_id")).where(
-        F.col("asset_id").isNotNull()
-    ).distinct()
+    names = datasets.selectExpr("id AS data_id", f"{text_at('logical_id', 'name')} AS data_name")
+    views = views.selectExpr("id AS view_id", f"{text_at('structure', 'name')} AS view_name")
+    distinct = assets.where("asset IS NOT NULL").selectExpr("asset AS asset_id").distinct()
     return (
-        distinct.join(titles, F.col("asset_id") == F.col("dash_id"), "left")
-        .join(names, F.col("asset_id") == F.col("data_id"), "left")
-        .join(views, F.col("asset_id") == F.col("view_id"), "left")
-        .select(
+        distinct.join(titles, F.expr("asset_id = dash_id"), "left")
+        .join(names, F.expr("asset_id = data_id"), "left")
+        .join(views, F.expr("asset_id = view_id"), "left")
+        .selectExpr(
             "asset_id",
-            F.coalesce("dash_title", "data_name", "view_name").alias("name"),
-            F.nullif("dash_platform", F.lit("")).alias("workspace"),
+            "coalesce(dash_title, data_name, view_name) AS name",
+            "nullif(dash_platform, '') AS workspace",
         )
     )
 
@@ -135,31 +121,28 @@ def domain_asset_names(
     """
     (domain_assets,) = catalog.require("domain_assets")
     listed = _asset_ids(domain_assets)
-    named = asset_names(listed, catalog)
     resolved = lookup_join(
-        listed, named.withColumnRenamed("asset_id", "named_id"), "asset", "named_id", "left", tuning
+        listed, asset_names(listed, catalog), "asset", "asset_id", "left", tuning
     )
-    entry = make_object(
-        {"asset_id": F.col("asset"), "name": F.col("name"), "workspace": F.col("workspace")},
-        semantics,
-    )
-    return resolved.groupBy("id").agg(collect(entry, semantics).alias("assets"))
+    entry = make_object({"asset_id": "asset", "name": "name", "workspace": "workspace"}, semantics)
+    return _gather(resolved, entry, "assets", semantics)
+
+
+def _gather(rows: DataFrame, entry: str, name: str, semantics: Semantics) -> DataFrame:
+    return rows.groupBy("id").agg(F.expr(f"{collect(entry, semantics)} AS {name}"))
+
+
+def _person(semantics: Semantics) -> str:
+    return make_object({"name": "display_name", "email": "email"}, semantics)
 
 
 def domain_tags(
     catalog: Catalog, semantics: Semantics = VARIANT, tuning: Tuning = DEFAULT_TUNING
 ) -> DataFrame:
     namespaces, resources = catalog.require("namespaces", "user_defined_resource")
-    edges = tag_ids(namespaces)
-    known = resolve_tags(edges, resources, description=True, tuning=tuning)
-    tag = make_object(
-        {name: F.col(name) for name in ("tag_id", "tag_name", "tag_description")}, semantics
-    )
-    return known.groupBy("id").agg(collect(tag, semantics).alias("tags"))
-
-
-def _person(semantics: Semantics) -> Column:
-    return make_object({"name": F.col("display_name"), "email": F.col("email")}, semantics)
+    known = resolve_tags(tag_ids(namespaces), resources, description=True, tuning=tuning)
+    tag = make_object({n: n for n in ("tag_id", "tag_name", "tag_description")}, semantics)
+    return _gather(known, tag, "tags", semantics)
 
 
 def domain_followers(
@@ -167,15 +150,16 @@ def domain_followers(
 ) -> DataFrame:
     namespaces, users = catalog.require("namespaces", "users")
     known = resolve_followers(follower_ids(namespaces), users, name=True, tuning=tuning)
-    return known.groupBy("id").agg(collect(_person(semantics), semantics).alias("followers"))
+    return _gather(known, _person(semantics), "followers", semantics)
 
 
 def domain_contacts(
     catalog: Catalog, semantics: Semantics = VARIANT, tuning: Tuning = DEFAULT_TUNING
 ) -> DataFrame:
+    """Contacts by name and email; their designation must be known but is not shown."""
     namespaces, resources, users = catalog.require("namespaces", "user_defined_resource", "users")
     known = resolve_contacts(contacts_long(namespaces), resources, users, name=True, tuning=tuning)
-    return known.groupBy("id").agg(collect(_person(semantics), semantics).alias("contacts"))
+    return _gather(known, _person(semantics), "contacts", semantics)
 
 
 def domain_creator(
@@ -183,9 +167,10 @@ def domain_creator(
 ) -> DataFrame:
     """``id, created_by``: the creator as a list; an unknown creator is an empty object."""
     namespaces, users = catalog.require("namespaces", "users")
-    created = namespaces.select("id", text_at("namespace_info", "created.actor").alias("actor"))
-    known = lookup_join(created, user_lookup(users, "display_name"), "actor", "user_key", "left", tuning)
-    return known.groupBy("id").agg(collect(_person(semantics), semantics).alias("created_by"))
+    created = namespaces.selectExpr("id", f"{text_at('namespace_info', 'created.actor')} AS actor")
+    people = user_lookup(users, "display_name")
+    known = lookup_join(created, people, "actor", "user_key", "left", tuning)
+    return _gather(known, _person(semantics), "created_by", semantics)
 
 
 def _described_cards(cards: DataFrame) -> DataFrame:
@@ -200,7 +185,7 @@ def _described_cards(cards: DataFrame) -> DataFrame:
             Field("card_description", "knowledge_card_info", "detail.assetDescription.description"),
         ],
     )
-    return parsed.where(F.col("card_description").isNotNull() & F.col("id").isNotNull())
+    return parsed.where("card_description IS NOT NULL AND id IS NOT NULL")
 
 
 def _fan_out_descriptions(
@@ -212,16 +197,16 @@ def _fan_out_descriptions(
     is split into pieces of its cards, and a piece that no card fell into is dropped.
     """
     namespace_cards = lookup_join(
-        _described_cards(cards), owners.select(F.col("id").alias("owner")), "id", "owner", tuning=tuning
+        _described_cards(cards), owners.selectExpr("id AS owner"), "id", "owner", tuning=tuning
     )
     hot = hot_keys(key_counts(namespace_cards, "id"), "id", tuning=tuning)
-    is_split = hot.select(F.col("hot_key"), F.lit(True).alias("split"))
+    is_split = hot.selectExpr("hot_key", "true AS split")
     pieces = spread_hot(namespace_cards, "id", hot, ["card_id"])
     return (
         replicate_hot(base, "id", hot)
-        .join(F.broadcast(is_split), F.col("id") == F.col("hot_key"), "left")
+        .join(F.broadcast(is_split), F.expr("id = hot_key"), "left")
         .join(pieces, ["id", "salt"], "left")
-        .where(F.col("card_id").isNotNull() | F.col("split").isNull())
+        .where("card_id IS NOT NULL OR split IS NULL")
         .drop("salt", "split", "hot_key", "card_id")
     )
 
@@ -229,19 +214,16 @@ def _fan_out_descriptions(
 def domain_description(catalog: Catalog, tuning: Tuning = DEFAULT_TUNING) -> DataFrame:
     """``id, description``: own text, else a card's; one row per namespace and card."""
     namespaces, cards = catalog.require("namespaces", "knowledge_cards")
-    base = namespaces.select(
-        "id", text_at("namespace_info", "description.text").alias("ns_description")
-    )
-    return _fan_out_descriptions(base, cards, namespaces, tuning).select(
-        "id", F.coalesce("ns_description", "card_description").alias("description")
+    own = text_at("namespace_info", "description.text")
+    base = namespaces.selectExpr("id", f"{own} AS ns_description")
+    return _fan_out_descriptions(base, cards, namespaces, tuning).selectExpr(
+        "id", "coalesce(ns_description, card_description) AS description"
     )
 
 
 def curated_query_cards(cards: DataFrame) -> DataFrame:
     """``card_id, asset, title, explanation, query`` of live cards marked as curated."""
-    live = cards.where(
-        F.col("deleted_at").isNull() & may_mention("knowledge_card_info", QUERY_CARD)
-    )
+    live = cards.where("deleted_at IS NULL").where(may_mention("knowledge_card_info", QUERY_CARD))
     parsed = read_for_filter(
         live.withColumnRenamed("id", "card_id"),
         ["card_id"],
@@ -258,25 +240,24 @@ def curated_query_cards(cards: DataFrame) -> DataFrame:
             Field("query", "knowledge_card_info", "detail.query.query"),
         ],
     )
-    return parsed.where(
-        (F.col("card_type") == QUERY_CARD) & (F.col("curated") == "true")
-    ).drop("card_type", "curated")
+    return parsed.where(f"card_type = '{QUERY_CARD}' AND curated = 'true'").drop(
+        "card_type", "curated"
+    )
 
 
 def _filled_query_cards(cards: DataFrame) -> DataFrame:
-    filled = F.coalesce("title", "explanation", "query").isNotNull()
-    return curated_query_cards(cards).where(filled & F.col("asset").isNotNull())
+    return curated_query_cards(cards).where(
+        "coalesce(title, explanation, query) IS NOT NULL AND asset IS NOT NULL"
+    )
 
 
-def domain_queries_long(
-    catalog: Catalog, tuning: Tuning = DEFAULT_TUNING
-) -> DataFrame:
+def domain_queries_long(catalog: Catalog, tuning: Tuning = DEFAULT_TUNING) -> DataFrame:
     """One row per namespace, listed asset and curated query of that asset.
 
     Adds ``card_id``. Queries with neither title, explanation nor text are left out.
     """
     domain_assets, cards = catalog.require("domain_assets", "knowledge_cards")
-    listed = _asset_ids(domain_assets).where(F.col("asset").isNotNull())
+    listed = _asset_ids(domain_assets).where("asset IS NOT NULL")
     return fan_out_join(
         listed, _filled_query_cards(cards), "asset", ["id"], ["card_id"], tuning=tuning
     )
@@ -293,26 +274,29 @@ def domain_top_queries(
     """
     domain_assets, cards = catalog.require("domain_assets", "knowledge_cards")
     listed = _asset_ids(domain_assets)
-    known = listed.where(F.col("asset").isNotNull())
+    known = listed.where("asset IS NOT NULL")
     queries = _filled_query_cards(cards)
     per_asset = key_counts(queries, "asset")
+    counted = per_asset.withColumnRenamed("asset", "counted")
     per_namespace = (
-        lookup_join(known, per_asset.withColumnRenamed("asset", "counted"), "asset", "counted", tuning=tuning)
+        lookup_join(known, counted, "asset", "counted", tuning=tuning)
         .groupBy("id")
-        .agg(F.sum("n_rows").alias("n_queries"))
+        .agg(F.expr("sum(n_rows) AS n_queries"))
     )
     long_lists = hot_keys(per_namespace, "id", "n_queries", tuning.part_rows, tuning)
 
-    entry = make_object({n: F.col(n) for n in ("title", "explanation", "query")}, semantics)
+    entry = make_object({n: n for n in ("title", "explanation", "query")}, semantics)
     found = fan_out_join(known, queries, "asset", ["id"], ["card_id"], per_asset, tuning)
     parts = (
         spread_hot(found, "id", long_lists, ["card_id", "asset"], "part")
         .groupBy("id", "part")
-        .agg(collect(entry, semantics).alias("top_queries"))
-        .drop("part")
+        .agg(F.expr(f"{collect(entry, semantics)} AS found_queries"))
     )
-    return listed.select("id").distinct().join(parts, "id", "left").select(
-        "id", null_if_empty(F.col("top_queries")).alias("top_queries")
+    return (
+        listed.select("id")
+        .distinct()
+        .join(parts, "id", "left")
+        .selectExpr("id", f"{null_if_empty('found_queries')} AS top_queries")
     )
 
 
@@ -321,9 +305,9 @@ def domain_report(
 ) -> DataFrame:
     """Live domains, sub-domains and data products, one row per description card."""
     namespaces, cards = catalog.require("namespaces", "knowledge_cards")
-    live = namespaces.where(F.col("deleted_at").isNull())
-    base = read_fields(live, ["id", "last_modified_at"], _INFO_FIELDS).where(
-        F.col("ns_type").isin(DATA_GROUP, DATA_UNIT)
+    live = namespaces.where("deleted_at IS NULL")
+    base = read_for_filter(live, ["id", "last_modified_at"], _INFO_FIELDS).where(
+        f"ns_type IN ('{DATA_GROUP}', '{DATA_UNIT}')"
     )
     for side in (
         domain_tags(catalog, semantics, tuning),
@@ -334,15 +318,15 @@ def domain_report(
         domain_top_queries(catalog, semantics, tuning),
     ):
         base = base.join(side, "id", "left")
-    return _fan_out_descriptions(base, cards, live, tuning).select(
-        *_classified(),
-        F.col("id").alias("domain_id"),
-        F.col("last_modified_at").alias("last_modified"),
+    return _fan_out_descriptions(base, cards, live, tuning).selectExpr(
+        *_CLASSES,
+        "id AS domain_id",
+        "last_modified_at AS last_modified",
         "created_by",
-        F.col("ns_created").alias("created_at"),
+        "ns_created AS created_at",
         "contacts",
-        F.col("tags").alias("asset_tags"),
-        F.coalesce("ns_description", "card_description").alias("description"),
+        "tags AS asset_tags",
+        "coalesce(ns_description, card_description) AS description",
         "followers",
         "assets",
         "top_queries",
@@ -372,35 +356,24 @@ def domain_descendants(
     """
     spark = domain_assets.sparkSession
     use_checkpoint_dir(spark)
-    nodes = domain_assets.select(F.col("_id").alias("node")).distinct()
-    parents = lookup_join(
-        domain_assets.select(F.col("_id").alias("child"), "parent")
-        .where(F.col("parent").isNotNull())
-        .distinct(),
-        nodes,
-        "parent",
-        "node",
-        tuning=tuning,
-    ).checkpoint()
-    frontier = parents.select(
-        F.col("parent").alias("ancestor"),
-        F.col("child").alias("descendant"),
-        F.lit(1).alias("depth"),
-        F.array("child").alias("path"),
-    ).where(F.col("ancestor") != F.col("descendant"))
+    nodes = domain_assets.selectExpr("_id AS node").distinct()
+    listed = domain_assets.where("parent IS NOT NULL").selectExpr("_id AS child", "parent")
+    parents = lookup_join(listed.distinct(), nodes, "parent", "node", tuning=tuning).checkpoint()
+    frontier = parents.where("parent <> child").selectExpr(
+        "parent AS ancestor", "child AS descendant", "1 AS depth", "array(child) AS path"
+    )
     levels = []
     while not frontier.isEmpty():
         levels.append(frontier.drop("path"))
-        climbed = lookup_join(frontier, parents, "ancestor", "child", tuning=tuning)
         frontier = (
-            climbed.select(
-                "parent",
+            lookup_join(frontier, parents, "ancestor", "child", tuning=tuning)
+            .selectExpr(
+                "parent AS ancestor",
                 "descendant",
-                (F.col("depth") + 1).alias("depth"),
-                F.concat("path", F.array(climbed["ancestor"])).alias("path"),
+                "depth + 1 AS depth",
+                "concat(path, array(ancestor)) AS path",
             )
-            .withColumnRenamed("parent", "ancestor")
-            .where(~F.array_contains("path", F.col("ancestor")))
+            .where("NOT array_contains(path, ancestor)")
             .checkpoint()
         )
     if not levels:

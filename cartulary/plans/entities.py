@@ -189,7 +189,7 @@ def knowledge_card_report(
     broadcast, only card ids and creators are shuffled by creator, not the cards.
     """
     cards, users = catalog.require("knowledge_cards", "users")
-    emails = user_lookup(users).withColumnRenamed("email", "creator_email")
+    emails = user_lookup(users, email="creator_email")
     if fits_broadcast(emails, tuning):
         actor = Field("__actor", "knowledge_card_info", "created.actor")
         report = replace(KNOWLEDGE_CARDS, fields=(*KNOWLEDGE_CARDS.fields, actor))

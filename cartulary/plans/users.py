@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from cartulary.functions.arrays import null_if_empty
 from cartulary.functions.jsonx import Field, read_fields, text_array
@@ -12,16 +11,17 @@ from cartulary.semantics import DEFAULT_TUNING, VARIANT, Semantics, Tuning
 from cartulary.sources.catalog import Catalog
 
 
-def keyword_array(activity: Column | str, semantics: Semantics = VARIANT) -> Column:
-    """Keywords of a user's recent searches; NULL without searches.
+def keyword_array(activity: str, semantics: Semantics = VARIANT) -> str:
+    """Expression for the keywords of a user's recent searches; NULL without searches.
 
     The searches of a user sit in one document, so no grouping is needed.
     """
+    schema = "keyword STRING"
     searches = null_if_empty(text_array(activity, "recentSearches"))
-    keywords = F.transform(searches, lambda s: F.get_json_object(s, "$.keyword"))
+    keywords = f"transform({searches}, s -> from_json(s, '{schema}').keyword)"
     if semantics.keep_null_elements:
         return keywords
-    return F.filter(keywords, lambda k: k.isNotNull())
+    return f"filter({keywords}, k -> k IS NOT NULL)"
 
 
 def user_report(
@@ -29,9 +29,8 @@ def user_report(
 ) -> DataFrame:
     """One row per user; the follower columns appear where the table has them."""
     (users,) = catalog.require("users")
-    with_keywords = users.withColumn(
-        "recent_searches_keywords", keyword_array("activity", semantics)
-    )
+    keywords = f"{keyword_array('activity', semantics)} AS recent_searches_keywords"
+    with_keywords = users.selectExpr("*", keywords)
     followed = ["asset_followers"] if "asset_followers" in users.columns else []
     plain = [
         "id", "display_name", "_created_at", "last_modified_at", "properties",
