@@ -138,18 +138,20 @@ def curated_dataset_report(
     attached = attach_references(base, source, catalog, keys, VARIANT, tuning)
     fanned = _attach_cards(attached, described, users, tuning)
 
-    dropped = {"salt", "card_description", "card_author", "schema_description", "tag_names"}
-    names = "tag_names"
-    if tag_name_copies == REPEATED:
-        dropped.add("n_cards")
-        names = "flatten(array_repeat(tag_names, CAST(coalesce(n_cards, 1) AS INT)))"
+    dropped = ("salt", "card_description", "card_author", "schema_description")
     report = fanned.selectExpr(
         *(quote(name) for name in fanned.columns if name not in dropped),
         f"to_json({_descriptions('schema_description')}) AS schema_description",
-        f"{names} AS tag_names",
     )
-    report = apply_grain(report, grain, VARIANT)
-    return (_sorted_by_description(report) if ordered else report).drop("card_id")
+    if ordered:
+        report = _sorted_by_description(report)
+    # Rows and arrays are repeated after the sort, which moves the short form and whose order
+    # both steps keep.
+    if tag_name_copies == REPEATED:
+        repeated = "flatten(array_repeat(tag_names, CAST(coalesce(n_cards, 1) AS INT)))"
+        kept = [quote(n) for n in report.columns if n not in ("tag_names", "n_cards")]
+        report = report.selectExpr(*kept, f"{repeated} AS tag_names")
+    return apply_grain(report.drop("card_id"), grain, VARIANT)
 
 
 def _without_metadata() -> Report:
