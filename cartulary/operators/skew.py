@@ -90,7 +90,7 @@ def hot_keys(
     size = tuning.hot_rows if piece_rows is None else piece_rows
     return (
         counts.where(f"{count} >= {size}")
-        .orderBy(F.expr(f"{count} DESC"), key)
+        .orderBy(F.col(count).desc(), key)
         .limit(tuning.hot_keys)
         .selectExpr(
             f"{quote(key)} AS hot_key",

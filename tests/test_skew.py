@@ -76,6 +76,8 @@ def test_hot_keys_are_exact_and_bounded(skewed):
     assert counts.where("key IS NULL").count() == 0
     many = hot_keys(counts, "key", piece_rows=1, tuning=tuning)
     assert many.count() == 3
+    only = hot_keys(counts, "key", piece_rows=1, tuning=Tuning(hot_keys=1, max_salts=4))
+    assert [r.hot_key for r in only.collect()] == ["hot"]
 
 
 def test_hot_rows_are_cut_into_pieces(skewed):
