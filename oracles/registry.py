@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 import cartulary as c
 from cartulary.operators import refs
-from cartulary.sources.catalog import Catalog
+from cartulary.sources.catalog import DOCUMENT_COLUMNS, Catalog
 from cartulary.sources.fixtures import derived_catalog, derived_events
 from oracles.sql import NULL_TEXT
 
@@ -63,6 +63,18 @@ def _merged(t: Catalog) -> DataFrame:
     return c.merged_descriptions(t).select("id", F.to_json("descriptions").alias("descriptions"))
 
 
+def _variant_input(t: Catalog) -> DataFrame:
+    """The dataset report from tables whose documents are variants."""
+    variants = {n: F.expr(f"parse_json({n})") for n in DOCUMENT_COLUMNS["datasets"]}
+    return c.dataset_report(
+        Catalog.from_frames(
+            datasets=t.datasets.withColumns(variants),
+            users=t.users.withColumn("logical_id", F.expr("parse_json(logical_id)")),
+            user_defined_resource=t.user_defined_resource,
+        )
+    )
+
+
 def _names_only(grain: str):
     def run(t: Catalog) -> DataFrame:
         return c.dataset_report(t, grain=grain).select(
@@ -122,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dataset_report_by_asset": _catalog(
             lambda t: c.dataset_report(t, grain="asset"), _DATASETS
         ),
+        "dataset_report_variant_input": _catalog(_variant_input, _DATASETS),
         "dataset_report_presto": _presto(c.dataset_report, _DATASETS),
         "dashboard_report": _catalog(c.dashboard_report, _DASHBOARDS),
         "dashboard_report_presto": _presto(c.dashboard_report, _DASHBOARDS),

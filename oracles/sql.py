@@ -460,6 +460,7 @@ def oracle_sql() -> dict[str, str]:
         # entity reports
         "dataset_report": _entity("datasets", _dataset_columns()),
         "dataset_report_by_asset": _entity("datasets", _dataset_columns(), by_asset=True),
+        "dataset_report_variant_input": _entity("datasets", _dataset_columns()),
         "dataset_report_presto": _entity("datasets", _dataset_columns(True), nulls=True),
         "dashboard_report": _entity("dashboards", _dashboard_columns()),
         "dashboard_report_presto": _entity("dashboards", _dashboard_columns(True), nulls=True),
