@@ -209,15 +209,17 @@ def anchors(model: Model) -> list[str]:
     holds one of the other words.
     """
     unknown = model.classes.index(UNKNOWN)
-    others = [i for i in range(len(model.classes)) if i != unknown]
-    lead = model.bias[unknown] - max(model.bias[i] for i in others)
-    lifts = {frozenset(g.split()): max(0.0, max(w[i] for i in others) - w[unknown])
-             for g, w in model.weights.items()}
+    lead = model.bias[unknown] - np.array(model.bias)
+    lead[unknown] = np.inf
+    lifts = {
+        frozenset(g.split()): np.maximum(np.array(w) - w[unknown], 0)
+        for g, w in model.weights.items()
+    }
     words = sorted({x for g in lifts for x in g}, key=lambda x: (-model.seen.get(x, 0), x))
     aside: set[str] = set()
     for word in words:
         wider = aside | {word}
-        if sum(v for g, v in lifts.items() if g <= wider) < lead:
+        if (sum(v for g, v in lifts.items() if g <= wider) < lead).all():
             aside = wider
     return [x for x in words if x not in aside]
 
@@ -236,11 +238,8 @@ def scan_licenses(docs: DataFrame, model: Model, confirmed: float = CONFIRMED) -
 
 def _may_hold(column: str, model: Model) -> Column:
     """A cheap test that every text with a licence paragraph passes."""
-    low = F.lower(F.col(column).cast("string"))
-    out = F.lit(False)
-    for word in anchors(model):
-        out = out | low.contains(word)
-    return out
+    words = f"split(lower(CAST({column} AS STRING)), '[^a-z0-9]+')"
+    return F.expr(f"arrays_overlap({words}, array({', '.join(map(_text, anchors(model)))}))")
 
 
 def _classified(lines: DataFrame, model: Model, confirmed: float) -> DataFrame:
@@ -259,14 +258,14 @@ def _classified(lines: DataFrame, model: Model, confirmed: float) -> DataFrame:
     hits = pairs.withColumn("hits", F.expr(f"array_intersect(concat(words, pairs), {known})"))
     entries = ", ".join(f"{_text(g)}, {_array(model.weights[g])}" for g in names)
     table = f"map({entries})" if names else "CAST(map() AS MAP<STRING, ARRAY<DOUBLE>>)"
-    scored = hits.withColumn(
-        "scores",
-        F.expr(
-            f"transform(aggregate(hits, {_array(model.bias)}, (a, g) -> zip_with(a,"
-            f" element_at({table}, g), (x, y) -> x + y)), x -> x / {model.temperature!r}D)"
-        ),
+    # Generators keep the optimizer from copying long expressions into the filters after them.
+    hits = hits.select("doc_id", "paragraph", "pairs", F.explode(F.array("hits")).alias("hits"))
+    scores = (
+        f"transform(aggregate(hits, {_array(model.bias)}, (a, g) -> zip_with(a,"
+        f" element_at({table}, g), (x, y) -> x + y)), x -> x / {model.temperature!r}D)"
     )
-    best = scored.withColumn("top", F.expr("array_max(scores)"))
+    scored = hits.select("doc_id", "paragraph", "pairs", F.expr(f"explode(array({scores})) AS scores"))
+    best = scored.select("*", F.expr("explode(array(array_max(scores))) AS top"))
     classes = f"array({', '.join(map(_text, model.classes))})"
     named = best.withColumn(
         "family", F.expr(f"element_at({classes}, CAST(array_position(scores, top) AS INT))")
