@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.llm import chat, langid, licenses, packing, quality, secrets, sharding, tokens
+from cartulary.llm import chat, jaccard, langid, licenses, packing, quality, secrets, sharding, tokens
 from cartulary.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(ids, rules).drop("text")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, sf_dir, "documents"), 4, 85)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
@@ -81,6 +85,7 @@ def queries() -> dict[str, Query]:
         "op7_license_scan": op7_license_scan,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_quality_rules": op9_quality_rules,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
