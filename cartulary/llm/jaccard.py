@@ -87,6 +87,8 @@ def _slack(n: int) -> int:
 
 
 def _classes(docs: DataFrame, k: int) -> DataFrame:
+    """``doc_id, row_key, n, fp, fp2``: the size and the digests of each document's set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -94,11 +96,12 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
                 rows += [(len(s), *_fingerprint(s)) for s in shingle_sets(data, offsets, k)]
             n, a, b = zip(*rows, strict=True) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], *(pa.array(x, pa.int64()) for x in (n, a, b))],
-                ["doc_id", "n", "fp", "fp2"],
+                [batch["doc_id"], batch["row_key"], *(pa.array(x, pa.int64()) for x in (n, a, b))],
+                ["doc_id", "row_key", "n", "fp", "fp2"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp long, fp2 long")
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    return keyed.mapInArrow(run, "doc_id long, row_key long, n long, fp long, fp2 long")
 
 
 def _dealt(hashes: np.ndarray, fps: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, int]]:
@@ -422,7 +425,9 @@ def _searched(sets: DataFrame, percent: int) -> DataFrame:
     return ordered.select("near", "i", "j", "fp", "block", "hashes").mapInPandas(run, "u long, v long")
 
 
-def link_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+def link_documents(
+    docs: DataFrame, k: int = 4, percent: int = 85, keep_key: bool = False
+) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document, one row per input row.
 
     Words are runs of anything but ASCII white space, A-Z as a-z; a document's set has the shingles
@@ -430,6 +435,7 @@ def link_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     least ``percent`` hundredths; a component is named by its least ``doc_id``. Documents without
     words, null texts among them, have no shingles and their own ``doc_id``. Repeated rows link
     with each other. Shingles are told apart by 64-bit hashes. Other columns are not read.
+    ``keep_key`` adds ``row_key``, a hash of the row's id and text.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(_classes(read, k), "classes")
@@ -470,4 +476,5 @@ def link_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
+        *(["row_key"] if keep_key else []),
     )

@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.llm import chat, jaccard, langid, licenses, packing, quality, secrets, sharding, tokens
+from cartulary.llm import (
+    chat,
+    decontam,
+    jaccard,
+    langid,
+    licenses,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    tokens,
+)
 from cartulary.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +37,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return decontam.find_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("masked")
 
@@ -79,6 +95,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
         "op2_sharding": op2_sharding,
+        "op3_decontamination": op3_decontamination,
         "op4_secret_scan": op4_secret_scan,
         "op5_token_counts": op5_token_counts,
         "op6_language_id": op6_language_id,
