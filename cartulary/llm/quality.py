@@ -88,9 +88,10 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "coalesce(aggregate(__repeated, struct(0L AS n, 0 AS done), (a, i) -> struct("
         f"a.n + i + {WINDOW} - greatest(i, a.done) AS n, i + {WINDOW} AS done)).n, 0L)"
     )
-    return repeated.withColumn("n_repeat_words", covered).select(
-        *own, *_COUNTS, "n_lines", "n_capitals", "n_digits"
-    )
+    whole = repeated.withColumn("n_repeat_words", covered)
+    # A generator keeps the optimizer from copying the long expressions into filters on counts.
+    counts = F.struct(*_COUNTS, "n_lines", "n_capitals", "n_digits")
+    return whole.select(*own, F.explode(F.array(counts)).alias("__counts")).select(*own, "__counts.*")
 
 
 @dataclass(frozen=True)
