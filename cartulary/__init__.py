@@ -38,6 +38,7 @@ from cartulary.plans.users import user_report
 from cartulary.semantics import PRESTO, VARIANT, Semantics, Tuning
 from cartulary.sources.catalog import (
     Catalog,
+    duplicate_ids,
     load_catalog,
     load_catalog_files,
     load_table,
@@ -66,6 +67,7 @@ __all__ = [
     "domain_report",
     "domain_tags",
     "domain_top_queries",
+    "duplicate_ids",
     "event_properties",
     "event_type_properties",
     "knowledge_card_report",

@@ -1,9 +1,9 @@
 """Joins and groups that stay balanced when one key holds a large share of the rows.
 
-Two situations occur. Many rows look up one row of a table that is unique by key: the table
-is copied under every salt and each row carries one salt. And two sides fan out against each
-other: only the keys that are really hot are split, found by a count that combines before its
-shuffle.
+Two situations occur. Many rows look up one row of a table that is unique by key: the table is
+broadcast where it fits, else the join is left to Spark's own split of skewed partitions, which
+copies only what meets them. And two sides fan out against each other: only the keys that are
+really hot are split, found by a count that combines before its shuffle.
 """
 
 from __future__ import annotations
@@ -26,8 +26,11 @@ def estimated_bytes(df: DataFrame) -> int | None:
 
 
 def _broadcast_limit(spark: SparkSession, tuning: Tuning) -> int:
-    if tuning.broadcast_bytes is not None:
-        return tuning.broadcast_bytes
+    limit = _session_limit(spark)
+    return limit if tuning.broadcast_bytes is None else min(limit, tuning.broadcast_bytes)
+
+
+def _session_limit(spark: SparkSession) -> int:
     text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
     units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
     digits = text.lower().removesuffix("b").strip()
@@ -51,23 +54,16 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``rows`` to a lookup; the lookup's key column is dropped.
 
-    A lookup within the broadcast limit is left to Spark, which broadcasts it. A larger one is
-    copied under every salt; the rows, which may crowd on one key, are spread over the salts
-    by a hash of their whole content. Columns of the two sides must differ in name.
+    A lookup within the broadcast limit is broadcast. A larger one is shuffled once, as are the
+    rows; adaptive execution splits the partition of a key that very many rows look up, or
+    broadcasts after all what turns out small. Columns of the two sides must differ in name.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
     if fits_broadcast(lookup, tuning):
-        condition = F.expr(f"{quote(row_key)} = {quote(lookup_key)}")
-        return rows.join(lookup, condition, how).drop(lookup_key)
-    salts = tuning.lookup_salts
-    content = ", ".join(quote(name) for name in rows.columns)
-    salted_rows = rows.selectExpr("*", f"pmod(xxhash64({content}), {salts}L) AS __salt")
-    salted_lookup = lookup.selectExpr("*", f"explode(sequence(0L, {salts - 1}L)) AS __copy")
-    condition = f"{quote(row_key)} = {quote(lookup_key)} AND __salt = __copy"
-    return salted_rows.join(salted_lookup, F.expr(condition), how).drop(
-        lookup_key, "__salt", "__copy"
-    )
+        lookup = F.broadcast(lookup)
+    condition = F.expr(f"{quote(row_key)} = {quote(lookup_key)}")
+    return rows.join(lookup, condition, how).drop(lookup_key)
 
 
 def key_counts(rows: DataFrame, key: str, count: str = "n_rows") -> DataFrame:
@@ -77,25 +73,16 @@ def key_counts(rows: DataFrame, key: str, count: str = "n_rows") -> DataFrame:
 
 
 def hot_keys(
-    counts: DataFrame,
-    key: str,
-    count: str = "n_rows",
-    piece_rows: int | None = None,
-    tuning: Tuning = DEFAULT_TUNING,
+    counts: DataFrame, key: str, count: str = "n_rows", tuning: Tuning = DEFAULT_TUNING
 ) -> DataFrame:
-    """``(hot_key, pieces)`` of the keys that count at least ``piece_rows`` rows.
+    """``(hot_key, pieces)`` of all keys that count at least ``tuning.hot_rows`` rows.
 
-    Exact counts with a total order, so a recomputed task sees the same keys.
+    The counts are exact, so a recomputed task sees the same keys, and the keys are at most the
+    rows divided by ``hot_rows``.
     """
-    size = tuning.hot_rows if piece_rows is None else piece_rows
-    return (
-        counts.where(f"{count} >= {size}")
-        .orderBy(F.col(count).desc(), key)
-        .limit(tuning.hot_keys)
-        .selectExpr(
-            f"{quote(key)} AS hot_key",
-            f"CAST(least(ceil({count} / {size}), {tuning.max_salts}) AS INT) AS pieces",
-        )
+    size = tuning.hot_rows
+    return counts.where(f"{count} >= {size}").selectExpr(
+        f"{quote(key)} AS hot_key", f"CAST(ceil({count} / {size}) AS INT) AS pieces"
     )
 
 

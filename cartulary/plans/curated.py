@@ -114,15 +114,15 @@ def curated_dataset_report(
     catalog: Catalog,
     grain: str = ASSET_TAG,
     ordered: bool = True,
-    tag_name_copies: str = REPEATED,
+    tag_name_copies: str = ONCE,
     tuning: Tuning = DEFAULT_TUNING,
 ) -> DataFrame:
     """Production datasets with fields, one row per dataset, description card and tag.
 
-    With ``tag_name_copies='repeated'`` each tag name appears once per description card of the
-    dataset, as a window over the joined rows gives it. That array grows with the number of
-    cards on each of their rows, so for datasets with very many cards use ``'once'``: names
-    appear once and ``n_cards`` says how often they would be repeated.
+    With ``tag_name_copies='once'`` names appear once and ``n_cards`` says how often they would
+    be repeated; the result is linear in the cards. With ``'repeated'`` each tag name appears once
+    per description card of the dataset, as a window over the joined rows gives it: that array
+    grows with the number of cards on each of their rows.
     """
     if tag_name_copies not in (REPEATED, ONCE):
         raise ValueError(f"tag_name_copies must be {REPEATED!r} or {ONCE!r}")

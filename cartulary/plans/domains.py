@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -268,55 +267,57 @@ def domain_top_queries(
 ) -> DataFrame:
     """``id, top_queries``: per namespace the curated queries of its assets, NULL if none.
 
-    Nothing bounds the queries of one namespace, so the list of a namespace with more than
-    ``tuning.part_rows`` queries comes as several rows, each with a part of it. How many there
-    will be is added up from the queries per asset, before any of them is joined.
+    One row per namespace, whatever the number of its queries; ``domain_queries_long`` has the
+    same queries without arrays.
     """
     domain_assets, cards = catalog.require("domain_assets", "knowledge_cards")
     listed = _asset_ids(domain_assets)
     known = listed.where("asset IS NOT NULL")
-    queries = _filled_query_cards(cards)
-    per_asset = key_counts(queries, "asset")
-    counted = per_asset.withColumnRenamed("asset", "counted")
-    per_namespace = (
-        lookup_join(known, counted, "asset", "counted", tuning=tuning)
-        .groupBy("id")
-        .agg(F.expr("sum(n_rows) AS n_queries"))
-    )
-    long_lists = hot_keys(per_namespace, "id", "n_queries", tuning.part_rows, tuning)
-
     entry = make_object({n: n for n in ("title", "explanation", "query")}, semantics)
-    found = fan_out_join(known, queries, "asset", ["id"], ["card_id"], per_asset, tuning)
-    parts = (
-        spread_hot(found, "id", long_lists, ["card_id", "asset"], "part")
-        .groupBy("id", "part")
-        .agg(F.expr(f"{collect(entry, semantics)} AS found_queries"))
+    found = fan_out_join(
+        known, _filled_query_cards(cards), "asset", ["id"], ["card_id"], tuning=tuning
     )
+    gathered = _gather(found, entry, "found_queries", semantics)
     return (
         listed.select("id")
         .distinct()
-        .join(parts, "id", "left")
+        .join(gathered, "id", "left")
         .selectExpr("id", f"{null_if_empty('found_queries')} AS top_queries")
     )
 
 
+#: How the domain report gives the curated queries of a namespace.
+ARRAY, NONE = "array", "none"
+
+
 def domain_report(
-    catalog: Catalog, semantics: Semantics = VARIANT, tuning: Tuning = DEFAULT_TUNING
+    catalog: Catalog,
+    semantics: Semantics = VARIANT,
+    tuning: Tuning = DEFAULT_TUNING,
+    top_queries: str = ARRAY,
 ) -> DataFrame:
-    """Live domains, sub-domains and data products, one row per description card."""
+    """Live domains, sub-domains and data products, one row per description card.
+
+    ``top_queries='array'`` puts all curated queries of a namespace into one cell. Nothing bounds
+    that list, so with ``'none'`` the column is left out; ``domain_queries_long`` has the queries.
+    """
+    if top_queries not in (ARRAY, NONE):
+        raise ValueError(f"top_queries must be {ARRAY!r} or {NONE!r}")
     namespaces, cards = catalog.require("namespaces", "knowledge_cards")
     live = namespaces.where("deleted_at IS NULL")
     base = read_for_filter(live, ["id", "last_modified_at"], _INFO_FIELDS).where(
         f"ns_type IN ('{DATA_GROUP}', '{DATA_UNIT}')"
     )
-    for side in (
+    sides = [
         domain_tags(catalog, semantics, tuning),
         domain_followers(catalog, semantics, tuning),
         domain_contacts(catalog, semantics, tuning),
         domain_creator(catalog, semantics, tuning),
         domain_asset_names(catalog, semantics, tuning),
-        domain_top_queries(catalog, semantics, tuning),
-    ):
+    ]
+    if top_queries == ARRAY:
+        sides.append(domain_top_queries(catalog, semantics, tuning))
+    for side in sides:
         base = base.join(side, "id", "left")
     return _fan_out_descriptions(base, cards, live, tuning).selectExpr(
         *_CLASSES,
@@ -329,7 +330,7 @@ def domain_report(
         "coalesce(ns_description, card_description) AS description",
         "followers",
         "assets",
-        "top_queries",
+        *(["top_queries"] if top_queries == ARRAY else []),
     )
 
 
@@ -348,34 +349,33 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
 def domain_descendants(
     domain_assets: DataFrame, tuning: Tuning = DEFAULT_TUNING
 ) -> DataFrame:
-    """``ancestor, descendant, depth`` of the namespace hierarchy.
+    """``ancestor, descendant, depth`` of the namespace hierarchy, one row per pair.
 
-    Every node climbs one parent per round until all have passed their root; the rounds are as
-    many as the hierarchy is deep. A parent that is no node itself ends the climb, and so does
-    a node met before, which makes a cycle end. Each round is checkpointed.
+    ``depth`` is the least number of steps. Every pair climbs one parent per round, as long as new
+    pairs come up: a pair met before, by another way or around a cycle, climbs no further. So the
+    rows of a round are bounded by the pairs, and the rounds by the depth. A parent that is no node
+    itself ends the climb. Each round is checkpointed.
     """
     spark = domain_assets.sparkSession
     use_checkpoint_dir(spark)
     nodes = domain_assets.selectExpr("_id AS node").distinct()
     listed = domain_assets.where("parent IS NOT NULL").selectExpr("_id AS child", "parent")
     parents = lookup_join(listed.distinct(), nodes, "parent", "node", tuning=tuning).checkpoint()
-    frontier = parents.where("parent <> child").selectExpr(
-        "parent AS ancestor", "child AS descendant", "1 AS depth", "array(child) AS path"
+    pair = ["ancestor", "descendant"]
+    frontier = (
+        parents.where("parent <> child")
+        .selectExpr("parent AS ancestor", "child AS descendant", "1 AS depth")
+        .checkpoint()
     )
-    levels = []
+    seen = frontier
     while not frontier.isEmpty():
-        levels.append(frontier.drop("path"))
+        climbed = lookup_join(frontier, parents, "ancestor", "child", tuning=tuning)
         frontier = (
-            lookup_join(frontier, parents, "ancestor", "child", tuning=tuning)
-            .selectExpr(
-                "parent AS ancestor",
-                "descendant",
-                "depth + 1 AS depth",
-                "concat(path, array(ancestor)) AS path",
-            )
-            .where("NOT array_contains(path, ancestor)")
+            climbed.selectExpr("parent AS ancestor", "descendant", "depth + 1 AS depth")
+            .where("ancestor <> descendant")
+            .dropDuplicates(pair)
+            .join(seen.select(*pair), pair, "left_anti")
             .checkpoint()
         )
-    if not levels:
-        return frontier.drop("path")
-    return reduce(DataFrame.unionByName, levels).distinct()
+        seen = seen.unionByName(frontier)
+    return seen

@@ -23,7 +23,7 @@ from cartulary.operators.refs import (
 )
 from cartulary.operators.skew import fits_broadcast, lookup_join
 from cartulary.semantics import DEFAULT_TUNING, VARIANT, Semantics, Tuning
-from cartulary.sources.catalog import Catalog
+from cartulary.sources.catalog import OPTIONAL_DOCUMENTS, Catalog
 
 _FOLLOWED_BY = Field("asset_followers_followedBy", "asset_followers", "followedBy", VALUE)
 _CONTACTS = Field("asset_contacts_contacts", "asset_contacts", "contacts", VALUE)
@@ -114,6 +114,9 @@ def own_columns(
     """The report's own columns, read before any join so that no document is shuffled twice."""
     present = {name.lower() for name in source.columns}
     keep = [*report.plain, *(name for name in report.optional if name in present), *extra]
+    absent = {field.doc for field in report.fields} - present
+    if missing := absent - set(OPTIONAL_DOCUMENTS.get(report.table, ())):
+        raise ValueError(f"{report.table} has no column {', '.join(sorted(missing))}")
     fields = [field for field in report.fields if field.doc in present]
     return read_fields(source, keep, fields, semantics)
 

@@ -34,29 +34,16 @@ class Tuning:
     """Layout of joins and groups. No setting changes a result.
 
     broadcast_bytes
-        A lookup estimated above this is joined by a salted shuffle; None means the session's
-        ``spark.sql.autoBroadcastJoinThreshold``.
-    lookup_salts
-        Copies of a shuffled lookup, so a key that holds a third of all rows is met by that
-        many tasks.
+        A lookup estimated above this, or above the session's
+        ``spark.sql.autoBroadcastJoinThreshold``, is not broadcast by the library; None means the
+        session's limit alone.
     hot_rows
-        A key with at least this many rows is hot and split into pieces of about this size.
-    hot_keys
-        At most this many hot keys are tracked. Any other key holds less than one row in
-        ``hot_keys``, so the broadcast of the hot keys has a fixed bound and misses nothing
-        that matters.
-    max_salts
-        Most pieces a hot key is split into.
-    part_rows
-        Most rows, on average, of one piece of an array that no single input row bounds.
+        A key with at least this many rows is hot and split into pieces of about this size. So hot
+        keys are at most one for each ``hot_rows`` rows.
     """
 
     broadcast_bytes: int | None = None
-    lookup_salts: int = 32
     hot_rows: int = 1_000_000
-    hot_keys: int = 10_000
-    max_salts: int = 1_024
-    part_rows: int = 1_000_000
 
 
 DEFAULT_TUNING = Tuning()

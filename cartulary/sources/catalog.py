@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,17 @@ DOCUMENT_COLUMNS = {
 # Spellings of a column that mean another one.
 COLUMN_SYNONYMS = {"created_at": "_created_at", "upstream": "entity_upstream"}
 
+# Columns that hold lists of asset ids.
+LIST_COLUMNS = {"domain_assets": ("live_query_assets", "selected_assets")}
+
+# Documents that an export may lack; any other one is required where it is read.
+OPTIONAL_DOCUMENTS = {
+    "datasets": ("structure", "custom_metadata"),
+    "dashboards": ("structure",),
+    "virtual_views": ("structure",),
+    "users": ("asset_followers",),
+}
+
 _NAME = re.compile(r"[A-Za-z0-9_]+")
 
 
@@ -47,14 +59,23 @@ def checked_name(name: str) -> str:
     return name
 
 
+def checked_prefix(schema: str | None) -> str:
+    """``schema`` or ``catalog.schema``, each part checked, with a dot after it."""
+    if schema is None:
+        return ""
+    return "".join(f"{checked_name(part)}." for part in schema.split("."))
+
+
 def normalize_catalog(df: DataFrame, kind: str) -> DataFrame:
-    """Unify column names, and give every document column as JSON text.
+    """Unify column names in lower case, and give every document column as JSON text.
 
-    A document column may arrive as text, as a variant or as a nested column.
+    A document column may arrive as text, as a variant or as a nested column, and so may a column
+    that holds a list of ids, which becomes an array of strings.
     """
     if kind not in DOCUMENT_COLUMNS:
         raise ValueError(f"unknown catalog table {kind!r}; known: {sorted(DOCUMENT_COLUMNS)}")
-    present = {name.lower(): name for name in df.columns}
+    df = df.toDF(*(name.lower() for name in df.columns))
+    present = {name: name for name in df.columns}
     renames = {
         present[old]: new
         for old, new in COLUMN_SYNONYMS.items()
@@ -67,9 +88,23 @@ def normalize_catalog(df: DataFrame, kind: str) -> DataFrame:
         field = types.get(name)
         if field is not None and not isinstance(field.dataType, T.StringType):
             as_text[field.name] = F.to_json(F.col(field.name))
+    for name in LIST_COLUMNS.get(kind, ()):
+        field = types.get(name)
+        if field is None or field.dataType == T.ArrayType(T.StringType()):
+            continue
+        text = F.col(field.name)
+        if not isinstance(field.dataType, T.StringType):
+            text = F.to_json(text)
+        as_text[field.name] = F.from_json(text, "ARRAY<STRING>")
     return df.withColumns(as_text) if as_text else df
 
 
+def duplicate_ids(df: DataFrame, key: str = "id") -> DataFrame:
+    """``key, n_rows`` of ids that occur more than once; the reports take ids to be unique."""
+    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+    return counted.where("n_rows > 1")
+
+
 @dataclass(frozen=True)
 class Catalog:
     """The catalog tables a report may need, each already normalized."""
@@ -99,20 +134,22 @@ def table_names() -> list[str]:
 
 
 def load_table(spark: SparkSession, kind: str, schema: str | None = None) -> DataFrame:
-    """One catalog table by name, from the current schema or a named one."""
-    name = checked_name(kind) if schema is None else f"{checked_name(schema)}.{checked_name(kind)}"
-    return normalize_catalog(spark.table(name), kind)
+    """One catalog table by name, from the current schema, ``schema`` or ``catalog.schema``."""
+    return normalize_catalog(spark.table(checked_prefix(schema) + checked_name(kind)), kind)
 
 
 def load_catalog(spark: SparkSession, schema: str | None = None) -> Catalog:
     """All catalog tables that exist in the schema."""
-    prefix = "" if schema is None else f"{checked_name(schema)}."
+    prefix = checked_prefix(schema)
     found = [name for name in table_names() if spark.catalog.tableExists(prefix + name)]
     return Catalog(**{name: load_table(spark, name, schema) for name in found})
 
 
-def load_catalog_files(spark: SparkSession, root: str, file_format: str = "parquet") -> Catalog:
-    """Catalog tables stored as ``<root>/<table>``."""
+def load_catalog_files(
+    spark: SparkSession, root: str, file_format: str = "parquet", tables: Sequence[str] | None = None
+) -> Catalog:
+    """Catalog tables stored as ``<root>/<table>``: all, or those of ``tables``."""
+    names = table_names() if tables is None else tables
     return Catalog.from_frames(
-        **{name: spark.read.format(file_format).load(f"{root}/{name}") for name in table_names()}
+        **{name: spark.read.format(file_format).load(f"{root}/{name}") for name in names}
     )

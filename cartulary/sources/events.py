@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartulary.sources.catalog import checked_name
+from cartulary.sources.catalog import checked_name, checked_prefix
 
 
 def load_events(spark: SparkSession, tenant: str, schema: str | None = None) -> DataFrame:
     """The wide event table of a tenant, ``events_<tenant>``."""
-    name = f"events_{checked_name(tenant)}"
-    return spark.table(name if schema is None else f"{checked_name(schema)}.{name}")
+    return spark.table(f"{checked_prefix(schema)}events_{checked_name(tenant)}")

@@ -101,7 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             lambda e: c.event_properties(e, "Search semantic search attempted")
         ),
         "event_type_properties": _events(c.event_type_properties),
-        "sample_events": _events(c.sample_events),
+        "sample_events": _events(
+            lambda e: c.sample_events(e).agg(F.count(F.lit(1)).alias("n_events"))
+        ),
         # references
         "explode_tags": _catalog(lambda t: refs.tag_ids(t.datasets), "datasets"),
         "explode_followers": _catalog(lambda t: refs.follower_ids(t.datasets), "datasets"),
@@ -146,7 +148,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "user_report_presto": _presto(c.user_report, "users"),
         # curated datasets
         "merged_descriptions": _catalog(_merged, "datasets knowledge_cards users"),
-        "curated_dataset_report": _catalog(c.curated_dataset_report, _CURATED),
+        "curated_dataset_report": _catalog(
+            lambda t: c.curated_dataset_report(t, tag_name_copies="repeated"), _CURATED
+        ),
         "curated_dataset_report_once": _catalog(
             lambda t: c.curated_dataset_report(
                 t, grain="asset", ordered=False, tag_name_copies="once"

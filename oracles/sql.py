@@ -394,6 +394,9 @@ def oracle_sql() -> dict[str, str]:
     dataset_links = _links("datasets")
     return {
         # usage
+        "sample_events": _with(
+            "usage_events", {}, "SELECT least(5, count(*)) AS n_events FROM usage_events"
+        ),
         "popular_queries": _popular("Search search attempted", "query"),
         "popular_filters": _popular("Search search attempted", "selectedfacets"),
         "sign_in_providers": _popular("General sign_in attempted", "identity_provider"),
@@ -497,7 +500,7 @@ def oracle_sql() -> dict[str, str]:
                     "WHERE p.parent IN (SELECT _id FROM domain_assets) AND p.parent <> p._id"
                 )
             },
-            "SELECT ancestor, descendant, depth FROM up",
+            "SELECT ancestor, descendant, min(depth) AS depth FROM up GROUP BY ALL",
         ),
         "domain_tags": _with(f"namespaces {LOOKUPS}", _NS, "SELECT eid AS id, tags FROM tag_list"),
         "domain_followers": _with(f"namespaces {LOOKUPS}", _NS, "SELECT eid AS id, followers FROM follow_list"),

@@ -34,12 +34,12 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture(params=["plain", "salted"])
+@pytest.fixture(params=["plain", "split"])
 def tuning(request):
     """Both layouts: joins as Spark chooses, and every lookup and hot key split."""
     if request.param == "plain":
         return Tuning()
-    return Tuning(broadcast_bytes=-1, lookup_salts=3, hot_rows=2, max_salts=4)
+    return Tuning(broadcast_bytes=-1, hot_rows=2)
 
 
 class Builder:

@@ -196,16 +196,28 @@ def test_top_queries(catalog, tuning):
     assert domain_queries_long(tables, tuning).count() == 5
 
 
-def test_long_lists_come_in_parts(catalog):
+def test_long_lists_stay_one_row(catalog):
     tables = catalog(
         [("x", None, ["D1"], []), ("y", None, ["S1"], [])],
         cards=[(f"c{i}", query_card("D1", f"q{i}")) for i in range(40)] + [("s", query_card("S1", "s"))],
     )
-    rows = domain_top_queries(tables, tuning=Tuning(part_rows=10)).collect()
-    parts = [r.top_queries for r in rows if r.id == "x"]
-    assert 1 < len(parts) <= 4
-    assert sorted(q.title for part in parts for q in part) == sorted(f"q{i}" for i in range(40))
-    assert len([r for r in rows if r.id == "y"]) == 1
+    for tuning in (Tuning(), Tuning(hot_rows=1), Tuning(broadcast_bytes=-1, hot_rows=5)):
+        rows = {r.id: r.top_queries for r in domain_top_queries(tables, tuning=tuning).collect()}
+        assert len(rows) == 2 and len(rows["y"]) == 1
+        assert sorted(q.title for q in rows["x"]) == sorted(f"q{i}" for i in range(40))
+    report = domain_report(tables, top_queries="none")
+    assert "top_queries" not in report.columns
+    with pytest.raises(ValueError):
+        domain_report(tables, top_queries="some")
+
+
+def test_descendants_of_diamonds_are_pairs(build):
+    levels = 6
+    rows = [(f"{i}{side}", f"{i - 1}{up}", [], []) for i in range(1, levels) for side in "ab" for up in "ab"]
+    assets = build.domain_assets(*rows, ("0a", None, [], []), ("0b", None, [], []))
+    got = [tuple(r) for r in domain_descendants(assets).collect()]
+    want = [(f"{i}{a}", f"{j}{b}", j - i) for i in range(levels) for j in range(i + 1, levels) for a in "ab" for b in "ab"]
+    assert sorted(got) == sorted(want)
 
 
 def test_report_keeps_live_groups_and_units(catalog, spark, tuning):

@@ -17,7 +17,7 @@ from cartulary.sources.fixtures import derived_catalog
 from oracles.registry import comparable
 from tests.conftest import SF_DIR
 
-SPLIT = Tuning(broadcast_bytes=-1, lookup_salts=5, hot_rows=3, max_salts=7, part_rows=1_000_000)
+SPLIT = Tuning(broadcast_bytes=-1, hot_rows=3)
 
 
 def rows(df):
@@ -61,27 +61,39 @@ def test_salted_lookup(spark, skewed, how):
         lookup_join(skewed, lookup, "key", "lk", "full")
 
 
-def test_salted_lookup_spreads_a_hot_key(spark, skewed):
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_lookup_is_not_copied(spark, skewed):
     lookup = spark.sql("SELECT 'hot' AS lk, 1 AS v")
-    plan = lookup_join(skewed, lookup, "key", "lk", "inner", SPLIT)
-    text = plan._jdf.queryExecution().optimizedPlan().toString()
-    assert "pmod(xxhash64(" in text and "explode" in text.lower()
+    text = optimized(lookup_join(skewed, lookup, "key", "lk", "inner", SPLIT))
+    assert "explode" not in text.lower() and "strategy=broadcast" not in text
+    assert "strategy=broadcast" in optimized(lookup_join(skewed, lookup, "key", "lk"))
+
+
+def test_session_limit_holds_for_a_larger_tuning(spark, skewed):
+    lookup = spark.range(10).selectExpr("concat('k', id) AS lk", "id AS v")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = optimized(lookup_join(skewed, lookup, "key", "lk", tuning=Tuning(broadcast_bytes=1 << 30)))
+        assert "strategy=broadcast" not in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_hot_keys_are_exact_and_bounded(skewed):
-    tuning = Tuning(hot_rows=100, hot_keys=3, max_salts=4)
+def test_all_hot_keys_are_found(skewed):
     counts = key_counts(skewed, "key")
-    got = {r.hot_key: r.pieces for r in hot_keys(counts, "key", tuning=tuning).collect()}
-    assert got == {"hot": 4}
+    got = {r.hot_key: r.pieces for r in hot_keys(counts, "key", tuning=Tuning(hot_rows=100)).collect()}
+    assert got == {"hot": 10}
     assert counts.where("key IS NULL").count() == 0
-    many = hot_keys(counts, "key", piece_rows=1, tuning=tuning)
-    assert many.count() == 3
-    only = hot_keys(counts, "key", piece_rows=1, tuning=Tuning(hot_keys=1, max_salts=4))
-    assert [r.hot_key for r in only.collect()] == ["hot"]
+    every = hot_keys(counts, "key", tuning=Tuning(hot_rows=1))
+    assert every.count() == counts.count()
 
 
 def test_hot_rows_are_cut_into_pieces(skewed):
-    tuning = Tuning(hot_rows=100, max_salts=8)
+    tuning = Tuning(hot_rows=125)
     hot = hot_keys(key_counts(skewed, "key"), "key", tuning=tuning)
     spread = spread_hot(skewed, "key", hot, ["id"])
     sizes = {(r.key, r.salt): r["count"] for r in spread.groupBy("key", "salt").count().collect()}
@@ -96,5 +108,5 @@ def test_hot_rows_are_cut_into_pieces(skewed):
 def test_fan_out_with_both_sides_hot(spark, skewed):
     right = spark.range(60).selectExpr("id AS rid", "CASE WHEN id < 30 THEN 'hot' ELSE concat('k', id) END AS key")
     plain = skewed.join(right, "key")
-    split = fan_out_join(skewed, right, "key", ["id"], ["rid"], tuning=Tuning(hot_rows=10, max_salts=5))
+    split = fan_out_join(skewed, right, "key", ["id"], ["rid"], tuning=Tuning(hot_rows=10))
     assert rows(split) == rows(plain)
