@@ -12,7 +12,9 @@ of a fixed number, chosen by a hash, which bounds a task's memory and leaves lit
 
 from __future__ import annotations
 
+import base64
 import re
+import struct
 import unicodedata
 import zlib
 from bisect import bisect_right
@@ -33,7 +35,7 @@ GROUP_DOCS = 16_384
 STEP = 64
 
 #: Pre-tokens remembered by a worker, and the longest of them.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 LONGEST = 64
 
 # Fixed value: the split pattern of the byte-level vocabulary, with its classes put in.
@@ -50,52 +52,54 @@ def _class(kind: str) -> str:
 class ByteLevelIds:
     """Ids of a byte-level vocabulary as little-endian bytes, pre-token by pre-token.
 
-    Pre-tokens never merge with each other, so the ids of one met before are looked up. Texts with
-    characters outside the safe range or with an added token go to the library whole.
+    Pre-tokens never merge with each other, so the ids of one met before are looked up and a new
+    one is merged alone, by the ranks of the same vocabulary. Texts with characters outside the
+    safe range or with an added token go to the library whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, ranks_path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
         letters, numbers = re.escape(_class("L")), re.escape(_class("N"))
-        self.split = re.compile(SPLIT.replace("{L}", letters).replace("{N}", numbers)).findall
+        pattern = SPLIT.replace("{L}", letters).replace("{N}", numbers)
+        self.split = re.compile(pattern).findall
         safe = "".join(chr(i) for i in range(_SAFE_END) if i not in _RARE)
         self.unsafe = re.compile(f"[^{re.escape(safe)}]").search
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        with open(ranks_path, "rb") as file:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        merge = tiktoken.Encoding(
+            "ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}
+        ).encode_ordinary
+
+        class Known(dict):
+            def __missing__(self, piece: str) -> bytes:
+                out = struct.pack(f"<{len(ids := merge(piece))}I", *ids)
+                # The first met are the most frequent; they stay.
+                if len(self) < REMEMBERED and len(piece) <= LONGEST:
+                    self[piece] = out
+                return out
+
+        self.known = Known()
 
     def ids(self, text: str) -> bytes:
         if any(x in text for x in self.added) or self.unsafe(text):
-            return self._whole(text)
-        pieces = self.split(text)
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
-        new = list({x for x in pieces if x not in known})
-        found = self.library.encode_batch(new, add_special_tokens=False)
-        fresh = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(new, found, strict=True)}
-        out = b"".join([known[x] if x in known else fresh[x] for x in pieces])
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-        known.update((x, v) for x, v in fresh.items() if len(x) <= LONGEST)
-        return out
+            ids = self.library.encode(text, add_special_tokens=False).ids
+            return np.array(ids, "<u4").tobytes()
+        return b"".join(map(self.known.__getitem__, self.split(text)))
 
 
 @lru_cache(maxsize=1)
-def _ids(path: str) -> ByteLevelIds:
-    return ByteLevelIds(path)
+def _ids(path: str, ranks_path: str) -> ByteLevelIds:
+    return ByteLevelIds(path, ranks_path)
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, nth long"
 
 
-def cut(docs: DataFrame, tokenizer_path: str, window: int, end_id: int = 0) -> DataFrame:
+def cut(docs: DataFrame, tokenizer_path: str, ranks_path: str, window: int, end_id: int = 0) -> DataFrame:
     """Pieces of each document's ids and ``end_id``: full windows and a rest.
 
     ``nth`` counts the documents of a task, so rows with one ``doc_id`` need not stay together.
@@ -109,7 +113,7 @@ def cut(docs: DataFrame, tokenizer_path: str, window: int, end_id: int = 0) -> D
             for doc_id, text in zip(
                 batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True
             ):
-                ids = (_ids(tokenizer_path).ids(text) if text else b"") + last
+                ids = (_ids(tokenizer_path, ranks_path).ids(text) if text else b"") + last
                 n = len(ids) // 4
                 for at in range(0, n, window):
                     part = ids[4 * at : 4 * (at + window)]
@@ -182,6 +186,7 @@ _PACKED = (
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
+    ranks_path: str,
     tiers: tuple[int, ...] = TIERS,
     group_docs: int = GROUP_DOCS,
     step: int = STEP,
@@ -196,9 +201,11 @@ def pack(
         raise ValueError("tiers must be rising powers of two")
     window = tiers[-1]
     groups = max(1, -(-docs.count() // group_docs))
-    pieces = cut(docs, tokenizer_path, window).withColumn(
+    pieces = cut(docs, tokenizer_path, ranks_path, window).withColumn(
         "pack_group", F.pmod(F.xxhash64("doc_id", "nth"), F.lit(groups))
     )
+    # A group with a missing id would turn all its ids into floating numbers.
+    pieces = pieces.withColumn("known", F.col("doc_id").isNotNull()).fillna(0, ["doc_id"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         group = int(pdf["pack_group"].iat[0])
@@ -218,6 +225,7 @@ def pack(
         return pd.DataFrame(
             {
                 **{x: pdf[x] for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")},
+                "known": pdf["known"],
                 "sequence_id": base + sequence,
                 "offset": offset,
                 "tier": np.array(tiers)[np.searchsorted(tiers, lengths)],
@@ -225,4 +233,5 @@ def pack(
             }
         )
 
-    return pieces.groupBy("pack_group").applyInPandas(run, _PACKED)
+    packed = pieces.groupBy("pack_group").applyInPandas(run, f"{_PACKED}, known boolean")
+    return packed.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("known")

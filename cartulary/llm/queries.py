@@ -30,7 +30,11 @@ _PROBE = r"\### Assistant: </turn> ok"
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(
+        docs,
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    )
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,5 +110,60 @@ def queries() -> dict[str, Query]:
     }
 
 
+def _escapes(column: str, characters: str) -> str:
+    """Characters that escaping adds to a column."""
+    return " + ".join(f"length({column}) - length(replace({column}, '{x}', ''))" for x in characters)
+
+
+_CHAT_SQL = f"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '{_PROBE}'
+    UNION ALL SELECT -7, 1, 'assistant', '{_PROBE}'
+), turns AS (
+    SELECT *, role || chr(10) || text || chr(10) AS whole,
+        CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+        length(role) + length(text) + {len(chat.HEAD + chat.MIDDLE + chat.END)}
+            + {_escapes("role", "#<:" + chr(92))} + {_escapes("text", "#<" + chr(92))} AS chars
+    FROM said
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(whole, '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(sum(length(loss)) AS BIGINT) AS loss_chars,
+    sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256,
+    CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+_JACCARD_SQL = r"""
+WITH RECURSIVE split AS (
+    SELECT doc_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE
+        WHEN len(w) >= 4 THEN list_distinct(list_transform(
+            range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+    FROM split
+), shingles AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+), shared AS (
+    SELECT a.doc_id AS u, b.doc_id AS v, a.n AS nu, b.n AS nv, count(*) AS k
+    FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id
+    GROUP BY ALL
+), links AS (
+    SELECT u, v FROM shared WHERE 100 * k >= 85 * (nu + nv - k)
+), reach AS (
+    SELECT doc_id AS u, doc_id AS v FROM sets
+    UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id
+FROM sets JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) ON doc_id = u
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins of what SQL expresses; learned models and tokenizers have none."""
+    return {"op8_chat_formatting": _CHAT_SQL, "op10_jaccard_join": _JACCARD_SQL}

@@ -66,7 +66,8 @@ def place_groups(
     large = groups.where(F.col("__group_size") >= least)
     small = groups.where(F.col("__group_size") < least)
     items: list[tuple[object, int]] = [
-        (("group", row[key], row["__bundle"]), row["__group_size"]) for row in large.collect()
+        (("group", _plain(row[key]), row["__bundle"]), row["__group_size"])
+        for row in large.collect()
     ]
     items += [
         (("bundle", None, row["__bundle"]), row["n"])
@@ -85,6 +86,10 @@ def place_groups(
     return joined.select(*sized.columns, shard)
 
 
+def _plain(value: object) -> object:
+    return bytes(value) if isinstance(value, bytearray) else value
+
+
 def _rows(spark: SparkSession, rows: list, key: str, kind: T.DataType, value: str) -> DataFrame:
     schema = T.StructType([T.StructField(key, kind), T.StructField(value, T.IntegerType())])
     return spark.createDataFrame(rows, schema)
