@@ -40,6 +40,8 @@ BUCKET = 1 << 20
 BLOCK = 1 << 22
 #: Postings a map task gathers before it deals them out.
 FLUSH = 1 << 22
+#: Size of the filter that picks the classes left out of all texts; full, it lets more through.
+FILTER_BITS = 1 << 26
 #: DivideSkip's weight of the long lists.
 MU = 0.01
 
@@ -190,39 +192,76 @@ def _shared_counts(docs: DataFrame, k: int, percent: int, buckets: int) -> DataF
         starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
         sizes = np.diff(np.append(starts, len(hashes)))
         known = np.repeat((sizes > 1) | ~alone[starts], sizes) & alone
-        holders, counts = np.unique(fps[known], return_counts=True)
-        return pd.DataFrame({"fp": holders, "shared": counts.astype(np.int64)})
+        return ranged(*np.unique(fps[known], return_counts=True))
+
+    def ranged(holders: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+        """Classes and their counts packed by range, one row for each range."""
+        part = holders % buckets
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(buckets + 1))
+        rows = []
+        for r in np.flatnonzero(np.diff(edges)):
+            own = order[edges[r] : edges[r + 1]]
+            rows.append((int(r), holders[own].tobytes(), counts[own].astype(np.int64).tobytes()))
+        return pd.DataFrame(rows, columns=["part", "holders", "counts"])
 
     def direct(pdf_batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdf_batches:
             for counts, holders in zip(pdf["hashes"], pdf["holders"], strict=True):
-                yield pd.DataFrame(
-                    {"fp": np.frombuffer(holders, np.int64), "shared": np.frombuffer(counts, np.int64)}
-                )
+                yield ranged(np.frombuffer(holders, np.int64), np.frombuffer(counts, np.int64))
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        holders = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["holders"]])
+        counts = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["counts"]])
+        fps, back = np.unique(holders, return_inverse=True)
+        return pd.DataFrame({"fp": fps, "shared": np.bincount(back, counts).astype(np.int64)})
 
     dealt = stored(docs.mapInArrow(deal, "bucket long, hashes binary, holders binary"), "postings")
-    kind = "fp long, shared long"
+    kind = "part long, holders binary, counts binary"
     met = dealt.where("bucket >= 0").groupBy("bucket").applyInPandas(count, kind)
     at_once = dealt.where("bucket < 0").mapInPandas(direct, kind)
-    return met.unionByName(at_once).groupBy("fp").agg(F.sum("shared").alias("shared"))
+    return met.unionByName(at_once).groupBy("part").applyInPandas(add, "fp long, shared long")
+
+
+def _filter_of(classes: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``fp`` with two hashes, as ``FILTER_BITS`` bits in 32-bit words."""
+    bits = F.lit(FILTER_BITS)
+    places = F.array(F.pmod("fp", bits), F.pmod(F.shiftrightunsigned("fp", 32), bits))
+    at = classes.select(F.explode(places).alias("at"))
+    bit = F.expr("shiftleft(1L, CAST(at % 32 AS INT))")
+    words = at.groupBy(F.expr("at div 32").alias("word")).agg(F.bit_or(bit).alias("set")).toArrow()
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[np.asarray(words["word"])] = np.asarray(words["set"]).astype(np.uint32)
+    return out
+
 
+def _passes(bits: np.ndarray, fp: int) -> bool:
+    fp %= 1 << 64
+    a, b = fp % FILTER_BITS, (fp >> 32) % FILTER_BITS
+    return bool(bits[a >> 5] >> (a & 31) & 1) and bool(bits[b >> 5] >> (b & 31) & 1)
+
+
+def _set_rows(docs: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
+    """``n, fp, hashes``: the set of each class that passes the filter, once for each class."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-def _set_rows(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for first, end, data, offsets in text_chunks(batch["text"]):
-                sets = shingle_sets(data, offsets, k)
+            for _, _, data, offsets in text_chunks(batch["text"]):
+                rows = []
+                for values in shingle_sets(data, offsets, k):
+                    fp = _fingerprint(values)[0]
+                    if len(values) and fp not in seen and _passes(shared.value, fp):
+                        seen.add(fp)
+                        rows.append((len(values), fp, values.tobytes()))
+                n, fps, sets = zip(*rows, strict=True) if rows else ([], [], [])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch["doc_id"][first:end],
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([_fingerprint(s)[0] for s in sets], pa.int64()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
-                    ],
-                    ["doc_id", "n", "fp", "hashes"],
+                    [pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(sets, pa.binary())],
+                    ["n", "fp", "hashes"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp long, hashes binary")
+    return docs.mapInArrow(run, "n long, fp long, hashes binary").dropDuplicates(["fp"])
 
 
 def _rare_shingles(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
@@ -449,10 +488,9 @@ def link_documents(
 
     total = left.agg(F.sum("n").alias("n")).first()["n"] or 0
     buckets = max(1, -(-int(total) // BUCKET))
-    wanted = left.select(F.col("rep").alias("doc_id"))
-    sets = _set_rows(read.join(wanted, "doc_id", "left_semi"), k)
-    sets = sets.withColumn("batch", F.pmod(F.xxhash64("fp"), F.lit(buckets)))
-    sets = stored(sets.where("n > 0"), "sets")
+    # What passes the filter by chance has no partner; it costs time, never a result.
+    sets = _set_rows(read, k, _filter_of(left))
+    sets = stored(sets.withColumn("batch", F.pmod(F.xxhash64("fp"), F.lit(buckets))), "sets")
     rare = stored(_rare_shingles(sets, percent, buckets), "rare")
     least = rare.groupBy("h").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).where("v < most")
     ties = rare.join(least, "h").select(F.col("fp").alias("u"), "v").distinct()
