@@ -1,12 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of the corpus are TF-IDF vectors over the benchmark's words, the only ones that a match
-can be made of. A distributed randomised SVD finds their leading directions: a random test matrix
-is multiplied by the passages and back, made orthonormal, and the passages' Gram matrix in that
-basis gives the singular values. Passages and benchmark items are folded into the space, each
-direction divided by its singular value, so what all passages share weighs little. Windows near an
-item by cosine are candidates. A candidate is confirmed where the longest common subsequence of
-words covers enough of the item and enough of its answer, the item's last part.
+can be made of. A distributed randomised SVD finds their leading directions: the passages and their
+transpose are multiplied by a random test matrix in one pass, and the product's small core gives
+the right singular vectors and the singular values (Nystrom's form). Passages and benchmark items
+are folded into the space, each direction divided by its singular value, so what all passages
+share weighs little. Windows near an item by cosine are candidates. A candidate is confirmed where
+the longest common subsequence of words covers enough of the item and enough of its answer, the
+item's last part.
 
 Only sums over passages reach the driver: frequencies of the benchmark's words and matrices of
 their number times the rank. Texts become word numbers once, kept in the shared folder.
@@ -29,8 +30,10 @@ from cartulary.llm.common import U64, stored, text_chunks, words
 PASSAGE = 32
 UNIT = 8
 #: Directions kept, and more that are drawn for accuracy.
-RANK = 48
-EXTRA = 16
+RANK = 64
+EXTRA = 8
+#: Lengths of windows in blocks, and their strides.
+WINDOWS = {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 2, 7: 2, 8: 2, 10: 2, 12: 3, 16: 4}
 #: Least cosine of a candidate.
 NEAR = 0.45
 #: Least share of the item's words in order, and of its answer's.
@@ -97,10 +100,13 @@ def _numbered(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     return read.mapInArrow(run, "doc_id long, words binary")
 
 
-def _batches(column: pa.Array, kind: type, unit: int, most: int = 1 << 19) -> Iterator[tuple]:
-    """First and end row, word numbers from -1, and the unit of each word, cut anew in each row.
+def _batches(
+    column: pa.Array, kind: type, unit: int, pad: int = 0, most: int = 1 << 19
+) -> Iterator[tuple]:
+    """First row, word numbers from -1, and the unit of each word, cut anew in each row.
 
-    Also gives the first unit of each row. Long rows come alone.
+    Also gives the first unit of each row, which ends with ``pad`` empty units, and the place of
+    its first word. Long rows come alone.
     """
     rows = [np.frombuffer(x, kind) for x in column.to_pylist()]
     first = 0
@@ -111,11 +117,13 @@ def _batches(column: pa.Array, kind: type, unit: int, most: int = 1 << 19) -> It
             end += 1
         own = rows[first:end]
         sizes = np.array([len(x) for x in own])
-        units = -(-sizes // unit)
+        units = -(-sizes // unit) + pad
         heads = np.append(0, np.cumsum(units))
-        numbers = np.concatenate(own).astype(np.int64) - 1 if own else np.zeros(0, np.int64)
-        within = np.arange(len(numbers)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        yield first, end, numbers, np.repeat(heads[:-1], sizes) + within // unit, heads, within
+        places = np.append(0, np.cumsum(sizes))
+        numbers = np.concatenate(own).astype(np.int32) - 1
+        within = np.arange(len(numbers), dtype=np.int32) - np.repeat(places[:-1], sizes).astype(np.int32)
+        of = np.repeat(heads[:-1], sizes).astype(np.int32) + within // np.int32(unit)
+        yield first, numbers, of, heads, places
         first = end
 
 
@@ -142,7 +150,7 @@ def _partial(numbered: DataFrame, kind: type, start, step, end) -> DataFrame:
 
         state = start()
         for batch in batches:
-            for _, _, numbers, unit, heads, _ in _batches(batch["words"], kind, PASSAGE):
+            for _, numbers, unit, heads, _ in _batches(batch["words"], kind, PASSAGE):
                 known = numbers >= 0
                 if known.any():
                     step(state, numbers[known], unit[known], int(heads[-1]))
@@ -169,11 +177,11 @@ def _joined(parts: dict[int, np.ndarray], rows: int, columns: int) -> np.ndarray
     return out
 
 
-def _projected(numbers: np.ndarray, unit: np.ndarray, matrix: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the matrix rows of the words of each unit; units come in order."""
-    out = np.zeros((n, matrix.shape[1]), matrix.dtype)
-    starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
-    out[unit[starts]] = np.add.reduceat(matrix[numbers], starts, axis=0)
+def _added(to: np.ndarray, values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Row sums of ``values[of]`` by ``to``, for n rows; column by column, which is fastest."""
+    out = np.empty((n, values.shape[1]), np.float32)
+    for j, column in enumerate(np.ascontiguousarray(values.T)):
+        out[:, j] = np.bincount(to, column[of], n)
     return out
 
 
@@ -184,7 +192,7 @@ def latent_space(numbered: DataFrame, kind: type, size: int, rank: int, extra: i
         return [np.zeros(size), 0]
 
     def count(state, numbers, unit, n):
-        pairs = np.unique(unit * size + numbers)
+        pairs = np.unique(unit.astype(np.int64) * size + numbers)
         state[0] += np.bincount(pairs % size, minlength=size)
         state[1] += n
 
@@ -202,38 +210,25 @@ def latent_space(numbered: DataFrame, kind: type, size: int, rank: int, extra: i
     sc = numbered.sparkSession.sparkContext
     there = sc.broadcast((weight[:, None] * test).astype(np.float32))
 
-    def back_start():
+    def product_start():
         return np.zeros((size, columns))
 
-    def back(state, numbers, unit, n):
-        y = _projected(numbers, unit, there.value, n)
-        order = np.argsort(numbers, kind="stable")
-        own = numbers[order]
-        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        state[own[starts]] += np.add.reduceat(y[unit[order]], starts, axis=0)
-
-    image = _joined(_summed(_partial(numbered, kind, back_start, back, _slices)), size, columns)
-    basis, _ = np.linalg.qr(weight[:, None] * image)
-    inside = sc.broadcast((weight[:, None] * basis).astype(np.float32))
-    width = basis.shape[1]
-
-    def gram_start():
-        return np.zeros((width, width))
-
-    def gram(state, numbers, unit, n):
-        y = _projected(numbers, unit, inside.value, n)
-        state += y.T @ y
-
-    def gram_end(state):
-        yield 0, state
-
-    sums = _summed(_partial(numbered, kind, gram_start, gram, gram_end))
-    if 0 not in sums:
+    def product(state, numbers, unit, n):
+        state += _added(numbers, _added(unit, there.value, numbers, n), unit, size)
+
+    image = _joined(_summed(_partial(numbered, kind, product_start, product, _slices)), size, columns)
+    # With C the passages' Gram matrix, image is C times test; C is near image core^-1 image^T.
+    image *= weight[:, None]
+    core = test.T @ image
+    values, turn = np.linalg.eigh((core + core.T) / 2)
+    good = values > max(values[-1], 1e-12) * 1e-10
+    half = image @ (turn[:, good] / np.sqrt(values[good]))
+    right, singular, _ = np.linalg.svd(half, full_matrices=False)
+    kept = singular[:rank] > max(singular[:1], default=0.0) * 1e-6
+    right, singular = right[:, :rank][:, kept], singular[:rank][kept]
+    if not len(singular):
         return np.zeros((size, 1), np.float32)
-    values, turn = np.linalg.eigh(sums[0].reshape(width, width))
-    order = np.argsort(-values)[:rank]
-    order = order[values[order] > max(values[order[0]], 1e-12) * 1e-9]
-    return (weight[:, None] * (basis @ turn[:, order]) / np.sqrt(values[order])).astype(np.float32)
+    return (weight[:, None] * right / singular).astype(np.float32)
 
 
 def common_subsequence(masks: dict[int, int], n: int, numbers: list[int]) -> int:
@@ -264,6 +259,9 @@ class Item:
         self.bits, self.answer_bits = word_bits(whole), word_bits(answer)
 
     def confirm(self, numbers: list[int]) -> tuple[float, float] | None:
+        # Words that the item has at all bound what the two have in order.
+        if sum(map(self.bits.__contains__, numbers)) < SHARED * self.n:
+            return None
         shared = common_subsequence(self.bits, self.n, numbers) / self.n
         if shared < SHARED:
             return None
@@ -271,6 +269,16 @@ class Item:
         return (shared, answer) if shared >= SURE or answer >= ANSWER else None
 
 
+def _windows(blocks: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First blocks of the windows of a length, and the windows' sums; the end is all zeros."""
+    starts = np.arange(0, len(blocks), WINDOWS[length])
+    total = blocks[starts]
+    for k in range(1, length):
+        more = blocks[k :: WINDOWS[length]]
+        total[: len(more)] += more
+    return starts, total
+
+
 _FOUND = "doc_id long, item long, first_word long, cosine double, shared double, answer double"
 
 
@@ -283,46 +291,38 @@ def _retrieve(numbered: DataFrame, kind: type, items: Items, space: np.ndarray)
         wanted = [Item(i, x) for i, x in zip(items.ids, items.words, strict=True)]
         vectors = np.stack([space[x].sum(0) for x in items.words])
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        units = np.array([max(1, round(x.n / UNIT)) for x in wanted])
-        scales = {int(u): np.flatnonzero(units == u) for u in np.unique(units)}
+        lengths = np.array(sorted(WINDOWS))
+        nearest = [int(lengths[np.abs(lengths * UNIT - x.n).argmin()]) for x in wanted]
+        scales = {w: np.flatnonzero(np.array(nearest) == w) for w in sorted(set(nearest))}
+        longest = max(scales)
         for batch in batches:
             ids, rows = batch["doc_id"].to_pylist(), []
-            for first, end, numbers, unit, heads, _ in _batches(batch["words"], kind, UNIT):
+            for first, numbers, unit, heads, places in _batches(
+                batch["words"], kind, UNIT, pad=longest - 1
+            ):
                 known = numbers >= 0
                 if not known.any():
                     continue
-                n = int(heads[-1])
-                blocks = _projected(numbers[known], unit[known], space, n).astype(np.float64)
-                sums = np.vstack([np.zeros((1, space.shape[1])), np.cumsum(blocks, axis=0)])
-                held = np.append(0, np.cumsum(np.bincount(unit[known], minlength=n)))
-                row = np.repeat(np.arange(len(heads) - 1), np.diff(heads))
-                words_at = np.append(0, np.cumsum(np.bincount(unit, minlength=n)))
-                best: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
-                for scale, members in scales.items():
-                    stop = np.minimum(np.arange(n) + scale, heads[1:][row])
-                    # A window needs so many of the benchmark's words to hold an item's share.
-                    least = SHARED * min(wanted[i].n for i in members) - UNIT
-                    window = np.flatnonzero(held[stop] - held[:n] >= max(least, 1))
-                    for at in range(0, len(window), 1 << 14):
-                        w = window[at : at + (1 << 14)]
-                        z = (sums[stop[w]] - sums[w]).astype(np.float32)
-                        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-                        cosine = z @ vectors[members].T
-                        for a, b in zip(*np.nonzero(cosine >= NEAR), strict=True):
-                            key = int(row[w[a]]), int(members[b])
-                            best.setdefault(key, []).append(
-                                (-float(cosine[a, b]), int(w[a]), int(stop[w[a]]))
-                            )
+                blocks = _added(unit[known], space, numbers[known], int(heads[-1]))
+                best: dict[tuple[int, int], list[tuple[float, int]]] = {}
+                for w, members in scales.items():
+                    starts, total = _windows(blocks, w)
+                    size = np.sqrt(np.einsum("ij,ij->i", total, total))
+                    near = total @ vectors[members].T
+                    at, item = np.nonzero(near >= np.maximum(NEAR * size, 1e-9)[:, None])
+                    row = np.searchsorted(heads, starts[at], "right") - 1
+                    for r, i, a, cosine in zip(
+                        row, members[item], starts[at], near[at, item] / size[at], strict=True
+                    ):
+                        best.setdefault((int(r), int(i)), []).append((-float(cosine), int(a - heads[r])))
                 for (r, i), found in best.items():
-                    own = words_at[heads[r]], words_at[heads[r + 1]]
-                    around = wanted[i].n // 2
-                    for cosine, a, b in sorted(found):
-                        low = max(int(words_at[a]) - around, int(own[0]))
-                        high = min(int(words_at[b]) + around, int(own[1]))
-                        right = wanted[i].confirm(numbers[low:high].tolist())
+                    text = numbers[places[r] : places[r + 1]]
+                    around, length = wanted[i].n // 2, nearest[i] * UNIT
+                    for cosine, a in sorted(found):
+                        low = max(a * UNIT - around, 0)
+                        right = wanted[i].confirm(text[low : a * UNIT + length + around].tolist())
                         if right:
-                            start = int(words_at[a] - own[0])
-                            rows.append((ids[first + r], i, start, -cosine, *right))
+                            rows.append((ids[first + r], i, a * UNIT, -cosine, *right))
                             break
             names = [x.split()[0] for x in _FOUND.split(", ")]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
