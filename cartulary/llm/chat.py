@@ -69,14 +69,16 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     parent = F.when(F.col("known") == 1, F.col("parent"))
     hop = joined.select("tree", "node", parent.alias("up"), F.col("score").alias("total"),
                         F.lit(1).cast("long").alias("reach"))
+    # Those at their root are done; they are met by others but climb no more.
     hop = stored(hop, "hops")
-    hops = [hop.where("up IS NOT NULL")]
+    done, going = hop.where("up IS NULL"), hop.where("up IS NOT NULL")
+    hops = [going]
     limit = messages.groupBy("tree").count().agg(F.max("count").alias("n")).first()["n"] or 0
     reach = 1
-    while reach < limit and not hop.where("up IS NOT NULL").isEmpty():
-        above = hop.select("tree", F.col("node").alias("up"), F.col("up").alias("far"),
+    while reach < limit and not going.isEmpty():
+        above = done.unionByName(going).select("tree", F.col("node").alias("up"), F.col("up").alias("far"),
                            F.col("total").alias("more"), F.col("reach").alias("further"))
-        hop = hop.join(above, ["tree", "up"], "left").select(
+        hop = going.join(above, ["tree", "up"], "left").select(
             "tree",
             "node",
             F.col("far").alias("up"),
@@ -84,10 +86,11 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
             (F.col("reach") + F.coalesce("further", F.lit(0))).alias("reach"),
         )
         hop = stored(hop, "hops")
+        done, going = done.unionByName(hop.where("up IS NULL")), hop.where("up IS NOT NULL")
         reach *= 2
-        hops.append(hop.where("up IS NOT NULL"))
+        hops.append(going)
     parents = nodes.select("tree", F.col("parent").alias("node")).distinct()
-    leaves = hop.where("up IS NULL").join(parents, ["tree", "node"], "left_anti")
+    leaves = done.join(parents, ["tree", "node"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.col("total").desc(), "node")
     ranked = leaves.withColumn("branch_rank", F.row_number().over(best)).where(
         F.col("branch_rank") <= branches
