@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.llm import (
+    align,
     bpe,
     chat,
     decontam,
@@ -102,6 +103,18 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, ranks, public_tokenizers.PATTERN))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align.align(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+    digest = F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256))
+    hashed = aligned.withColumn("groups_sha256", F.coalesce(digest, F.lit(""))).drop("groups")
+    return align.with_pair_counts(hashed)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
@@ -115,6 +128,7 @@ def queries() -> dict[str, Query]:
         "op9_quality_rules": op9_quality_rules,
         "op10_jaccard_join": op10_jaccard_join,
         "op12_byte_bpe": op12_byte_bpe,
+        "op13_alignment": op13_alignment,
     }
 
 
