@@ -21,6 +21,7 @@ from cartulary.llm import (
     secrets,
     sharding,
     tokens,
+    trie,
 )
 from cartulary.llm.common import table
 
@@ -97,6 +98,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(table(spark, sf_dir, "documents"), 4, 85)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -127,6 +132,7 @@ def queries() -> dict[str, Query]:
         "op8_chat_formatting": op8_chat_formatting,
         "op9_quality_rules": op9_quality_rules,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_byte_bpe": op12_byte_bpe,
         "op13_alignment": op13_alignment,
     }
