@@ -1,6 +1,12 @@
 """Catalog metadata enrichment and product usage analytics as Spark DataFrame operators."""
 
-from cartulary.plans.curated import curated_dataset_report, merged_descriptions
+from cartulary.operators.ordinals import with_ordinals
+from cartulary.operators.uniqueness import LookupCheck
+from cartulary.plans.curated import (
+    curated_dataset_places,
+    curated_dataset_report,
+    merged_descriptions,
+)
 from cartulary.plans.domains import (
     domain_asset_details,
     domain_asset_names,
@@ -11,6 +17,7 @@ from cartulary.plans.domains import (
     domain_description,
     domain_followers,
     domain_queries_long,
+    domain_query_sizes,
     domain_report,
     domain_tags,
     domain_top_queries,
@@ -22,11 +29,13 @@ from cartulary.plans.entities import (
     virtual_view_report,
 )
 from cartulary.plans.usage import (
+    event_profile,
     event_properties,
     event_type_properties,
     popular_filters,
     popular_queries,
     popularity,
+    ranking,
     sample_events,
     saved_searches,
     semantic_searches,
@@ -45,13 +54,16 @@ from cartulary.sources.catalog import (
     normalize_catalog,
 )
 from cartulary.sources.events import load_events
+from cartulary.sources.layout import save_catalog, save_events
 
 __all__ = [
     "Catalog",
+    "LookupCheck",
     "PRESTO",
     "Semantics",
     "Tuning",
     "VARIANT",
+    "curated_dataset_places",
     "curated_dataset_report",
     "dashboard_report",
     "dataset_report",
@@ -64,10 +76,12 @@ __all__ = [
     "domain_description",
     "domain_followers",
     "domain_queries_long",
+    "domain_query_sizes",
     "domain_report",
     "domain_tags",
     "domain_top_queries",
     "duplicate_ids",
+    "event_profile",
     "event_properties",
     "event_type_properties",
     "knowledge_card_report",
@@ -80,7 +94,10 @@ __all__ = [
     "popular_filters",
     "popular_queries",
     "popularity",
+    "ranking",
     "sample_events",
+    "save_catalog",
+    "save_events",
     "saved_searches",
     "semantic_searches",
     "sign_in_providers",
@@ -88,4 +105,5 @@ __all__ = [
     "top_sign_in_users",
     "user_report",
     "virtual_view_report",
+    "with_ordinals",
 ]

@@ -16,11 +16,15 @@ def make_object(fields: Mapping[str, str], semantics: Semantics = VARIANT) -> st
     return record
 
 
-def collect(value: str, semantics: Semantics = VARIANT) -> str:
-    """Aggregate of ``value`` into an array, skipping NULLs unless they are kept."""
+def collect(value: str, semantics: Semantics = VARIANT, where: str | None = None) -> str:
+    """Aggregate of ``value`` into an array, skipping NULLs unless they are kept.
+
+    With ``where`` only the rows that meet the condition are collected.
+    """
+    chosen = f" FILTER (WHERE {where})" if where else ""
     if semantics.keep_null_elements:
-        return f"transform(collect_list(struct({value} AS e)), x -> x.e)"
-    return f"collect_list({value})"
+        return f"transform(collect_list(struct({value} AS e)){chosen}, x -> x.e)"
+    return f"collect_list({value}){chosen}"
 
 
 def null_if_empty(array: str) -> str:

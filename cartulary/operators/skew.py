@@ -60,7 +60,10 @@ def lookup_join(
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
-    if fits_broadcast(lookup, tuning):
+    small = fits_broadcast(lookup, tuning)
+    if tuning.lookups is not None:
+        lookup = tuning.lookups.watch(lookup, lookup_key)
+    if small:
         lookup = F.broadcast(lookup)
     condition = F.expr(f"{quote(row_key)} = {quote(lookup_key)}")
     return rows.join(lookup, condition, how).drop(lookup_key)

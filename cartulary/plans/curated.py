@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cartulary.functions.arrays import null_if_empty
 from cartulary.functions.jsonx import Field, may_mention, quote, read_fields, read_for_filter
-from cartulary.operators.grain import ASSET_TAG, apply_grain
+from cartulary.operators.grain import ASSET, ASSET_TAG, apply_grain
+from cartulary.operators.ordinals import with_ordinals
 from cartulary.operators.refs import user_lookup
 from cartulary.operators.skew import (
     hot_keys,
@@ -32,7 +33,7 @@ DESCRIPTION_CARD = "ASSET_DESCRIPTION"
 def description_cards(cards: DataFrame) -> DataFrame:
     """``card_id, id, card_description, actor`` of the cards that describe an asset ``id``."""
     parsed = read_for_filter(
-        cards.where(may_mention("knowledge_card_info", DESCRIPTION_CARD)).withColumnRenamed(
+        cards.where(may_mention(cards, "knowledge_card_info", DESCRIPTION_CARD)).withColumnRenamed(
             "id", "card_id"
         ),
         ["card_id"],
@@ -132,10 +133,11 @@ def curated_dataset_report(
     source = replicate_hot(production, "id", described.hot)
 
     keys = ("id", "salt")
-    base = own_columns(source, _without_metadata(), extra=["is_non_prod", "salt"]).where(
+    report = _without_metadata()
+    base = own_columns(source, report, extra=["is_non_prod", "salt"], for_filter=True).where(
         "schema_fields IS NOT NULL"
     )
-    attached = attach_references(base, source, catalog, keys, VARIANT, tuning)
+    attached = attach_references(base, source, catalog, report, keys, VARIANT, tuning)
     fanned = _attach_cards(attached, described, users, tuning)
 
     dropped = ("salt", "card_description", "card_author", "schema_description")
@@ -154,6 +156,17 @@ def curated_dataset_report(
     return apply_grain(report.drop("card_id"), grain, VARIANT)
 
 
+def curated_dataset_places(
+    catalog: Catalog, tuning: Tuning = DEFAULT_TUNING, name: str = "place"
+) -> DataFrame:
+    """The curated report, one row per dataset and card, each with its place in the report's order.
+
+    Descriptions ascend, missing ones are last, and equal ones go by id. Tag names appear once.
+    """
+    report = curated_dataset_report(catalog, ASSET, ordered=False, tuning=tuning)
+    return with_ordinals(report, [F.col("schema_description").asc_nulls_last(), "id"], name)
+
+
 def _without_metadata() -> Report:
     fields = tuple(f for f in DATASETS.fields if f.doc != "custom_metadata")
     return replace(DATASETS, fields=fields)

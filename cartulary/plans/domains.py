@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.functions.arrays import collect, make_object, null_if_empty
 from cartulary.functions.jsonx import Field, may_mention, read_fields, read_for_filter, text_at
+from cartulary.operators.closure import descendants
 from cartulary.operators.refs import (
+    IS_CONTACT,
+    IS_FOLLOWER,
+    IS_OWN,
+    IS_TAG,
     contacts_long,
     follower_ids,
+    gather,
+    reference_edges,
     resolve_contacts,
     resolve_followers,
     resolve_tags,
+    resolved_edges,
     tag_ids,
     user_lookup,
 )
@@ -72,7 +78,7 @@ def domain_asset_details(domain_assets: DataFrame, namespaces: DataFrame) -> Dat
     Walking the hierarchy would only repeat these rows once per ancestor before the distinct,
     so the list is read flat. A namespace with one missing list has no rows.
     """
-    names = namespaces.selectExpr("id AS ns_id", f"{text_at('namespace_info', 'name')} AS name")
+    names = namespaces.selectExpr("id AS ns_id", f"{text_at(namespaces, 'namespace_info', 'name')} AS name")
     return (
         _listed_assets(domain_assets)
         .join(names, F.expr("id = ns_id"), "left")
@@ -88,27 +94,33 @@ def _asset_ids(domain_assets: DataFrame) -> DataFrame:
 def asset_names(assets: DataFrame, catalog: Catalog) -> DataFrame:
     """``asset_id, name, workspace`` of ids that may be dashboards, datasets or views.
 
-    The ids are made distinct first: an asset listed by very many namespaces is looked up once.
+    The listed ids and the three tables are one stream that is reduced by id in one shuffle. The
+    name is that of the first table, in this order, that has one; the workspace a dashboard's
+    platform. An asset listed by very many namespaces is looked up once.
     """
     dashboards, datasets, views = catalog.require("dashboards", "datasets", "virtual_views")
-    titles = dashboards.selectExpr(
-        "id AS dash_id",
-        f"{text_at('dashboard_info', 'title')} AS dash_title",
-        f"{text_at('logical_id', 'platform')} AS dash_platform",
+    none = "CAST(NULL AS STRING)"
+    named = (
+        (dashboards, text_at(dashboards, "dashboard_info", "title"),
+         f"nullif({text_at(dashboards, 'logical_id', 'platform')}, '')"),
+        (datasets, text_at(datasets, "logical_id", "name"), none),
+        (views, text_at(views, "structure", "name"), none),
+    )
+    stream = assets.where("asset IS NOT NULL").selectExpr(
+        "asset AS asset_id", "true AS listed", "0 AS place", f"{none} AS name", f"{none} AS workspace"
     )
-    names = datasets.selectExpr("id AS data_id", f"{text_at('logical_id', 'name')} AS data_name")
-    views = views.selectExpr("id AS view_id", f"{text_at('structure', 'name')} AS view_name")
-    distinct = assets.where("asset IS NOT NULL").selectExpr("asset AS asset_id").distinct()
-    return (
-        distinct.join(titles, F.expr("asset_id = dash_id"), "left")
-        .join(names, F.expr("asset_id = data_id"), "left")
-        .join(views, F.expr("asset_id = view_id"), "left")
-        .selectExpr(
-            "asset_id",
-            "coalesce(dash_title, data_name, view_name) AS name",
-            "nullif(dash_platform, '') AS workspace",
+    for place, (table, name, workspace) in enumerate(named, start=1):
+        stream = stream.unionAll(
+            table.selectExpr(
+                "CAST(id AS STRING)", "false", str(place), f"{name} AS name", f"{workspace} AS workspace"
+            )
         )
+    reduced = stream.groupBy("asset_id").agg(
+        F.expr("bool_or(listed) AS listed"),
+        F.expr("min_by(name, place) FILTER (WHERE name IS NOT NULL) AS name"),
+        F.expr("max(workspace) AS workspace"),
     )
+    return reduced.where("listed").drop("listed")
 
 
 def domain_asset_names(
@@ -166,16 +178,53 @@ def domain_creator(
 ) -> DataFrame:
     """``id, created_by``: the creator as a list; an unknown creator is an empty object."""
     namespaces, users = catalog.require("namespaces", "users")
-    created = namespaces.selectExpr("id", f"{text_at('namespace_info', 'created.actor')} AS actor")
+    created = namespaces.selectExpr("id", f"{text_at(namespaces, 'namespace_info', 'created.actor')} AS actor")
     people = user_lookup(users, "display_name")
     known = lookup_join(created, people, "actor", "user_key", "left", tuning)
     return _gather(known, _person(semantics), "created_by", semantics)
 
 
+def namespace_references(
+    namespaces: DataFrame,
+    catalog: Catalog,
+    semantics: Semantics = VARIANT,
+    tuning: Tuning = DEFAULT_TUNING,
+) -> DataFrame:
+    """``id, tags, followers, contacts, created_by``: all references of a namespace in one shuffle.
+
+    The columns are those of the four functions before.
+    """
+    resources, users = catalog.require("user_defined_resource", "users")
+    actor = Field("actor", "namespace_info", "created.actor")
+    resolved = resolved_edges(
+        reference_edges(namespaces, semantics=semantics, actor=actor),
+        resources,
+        users,
+        ("tag_name", "tag_description"),
+        ("display_name",),
+        tuning=tuning,
+    )
+    tag = make_object(
+        {"tag_id": "resource_id", "tag_name": "tag_name", "tag_description": "tag_description"},
+        semantics,
+    )
+    person = _person(semantics)
+    return gather(
+        resolved,
+        {
+            "tags": (IS_TAG, tag),
+            "followers": (IS_FOLLOWER, person),
+            "contacts": (IS_CONTACT, person),
+            "created_by": (IS_OWN, person),
+        },
+        semantics=semantics,
+    )
+
+
 def _described_cards(cards: DataFrame) -> DataFrame:
     """Cards of any type that carry a description, by the ``id`` they are about."""
     parsed = read_for_filter(
-        cards.where(may_mention("knowledge_card_info", "assetDescription")).withColumnRenamed(
+        cards.where(may_mention(cards, "knowledge_card_info", "assetDescription")).withColumnRenamed(
             "id", "card_id"
         ),
         ["card_id"],
@@ -213,7 +262,7 @@ def _fan_out_descriptions(
 def domain_description(catalog: Catalog, tuning: Tuning = DEFAULT_TUNING) -> DataFrame:
     """``id, description``: own text, else a card's; one row per namespace and card."""
     namespaces, cards = catalog.require("namespaces", "knowledge_cards")
-    own = text_at("namespace_info", "description.text")
+    own = text_at(namespaces, "namespace_info", "description.text")
     base = namespaces.selectExpr("id", f"{own} AS ns_description")
     return _fan_out_descriptions(base, cards, namespaces, tuning).selectExpr(
         "id", "coalesce(ns_description, card_description) AS description"
@@ -222,7 +271,7 @@ def domain_description(catalog: Catalog, tuning: Tuning = DEFAULT_TUNING) -> Dat
 
 def curated_query_cards(cards: DataFrame) -> DataFrame:
     """``card_id, asset, title, explanation, query`` of live cards marked as curated."""
-    live = cards.where("deleted_at IS NULL").where(may_mention("knowledge_card_info", QUERY_CARD))
+    live = cards.where("deleted_at IS NULL").where(may_mention(cards, "knowledge_card_info", QUERY_CARD))
     parsed = read_for_filter(
         live.withColumnRenamed("id", "card_id"),
         ["card_id"],
@@ -262,13 +311,41 @@ def domain_queries_long(catalog: Catalog, tuning: Tuning = DEFAULT_TUNING) -> Da
     )
 
 
+def domain_query_sizes(catalog: Catalog, tuning: Tuning = DEFAULT_TUNING) -> DataFrame:
+    """``id, n_queries, n_bytes`` of what ``domain_top_queries`` would put into one cell.
+
+    Bytes are those of the three texts. Counts combine before the shuffle.
+    """
+    texts = " + ".join(f"coalesce(octet_length({x}), 0)" for x in ("title", "explanation", "query"))
+    return (
+        domain_queries_long(catalog, tuning)
+        .groupBy("id")
+        .agg(F.expr("count(1) AS n_queries"), F.expr(f"sum(CAST({texts} AS BIGINT)) AS n_bytes"))
+    )
+
+
+def _gather_in_pieces(
+    rows: DataFrame, entry: str, by: str, name: str, semantics: Semantics, tuning: Tuning
+) -> DataFrame:
+    """``id, name``: as ``_gather``, for lists without a bound.
+
+    The rows of an id are dealt into pieces of about ``hot_rows`` by their key ``by``; a task lists a
+    piece, and what puts the pieces together, in their order, only joins lists.
+    """
+    hot = hot_keys(key_counts(rows, "id"), "id", tuning=tuning)
+    pieces = spread_hot(rows, "id", hot, [by], "__piece")
+    listed = pieces.groupBy("id", "__piece").agg(F.expr(f"{collect(entry, semantics)} AS __list"))
+    joined = listed.groupBy("id").agg(F.expr("array_sort(collect_list(struct(__piece, __list))) AS __all"))
+    return joined.selectExpr("id", f"flatten(transform(__all, p -> p.__list)) AS {name}")
+
+
 def domain_top_queries(
     catalog: Catalog, semantics: Semantics = VARIANT, tuning: Tuning = DEFAULT_TUNING
 ) -> DataFrame:
     """``id, top_queries``: per namespace the curated queries of its assets, NULL if none.
 
-    One row per namespace, whatever the number of its queries; ``domain_queries_long`` has the
-    same queries without arrays.
+    One row per namespace, whatever the number of its queries; ``domain_query_sizes`` says how large
+    a cell becomes, and ``domain_queries_long`` has the same queries without arrays.
     """
     domain_assets, cards = catalog.require("domain_assets", "knowledge_cards")
     listed = _asset_ids(domain_assets)
@@ -277,7 +354,7 @@ def domain_top_queries(
     found = fan_out_join(
         known, _filled_query_cards(cards), "asset", ["id"], ["card_id"], tuning=tuning
     )
-    gathered = _gather(found, entry, "found_queries", semantics)
+    gathered = _gather_in_pieces(found, entry, "card_id", "found_queries", semantics, tuning)
     return (
         listed.select("id")
         .distinct()
@@ -309,10 +386,7 @@ def domain_report(
         f"ns_type IN ('{DATA_GROUP}', '{DATA_UNIT}')"
     )
     sides = [
-        domain_tags(catalog, semantics, tuning),
-        domain_followers(catalog, semantics, tuning),
-        domain_contacts(catalog, semantics, tuning),
-        domain_creator(catalog, semantics, tuning),
+        namespace_references(live, catalog, semantics, tuning),
         domain_asset_names(catalog, semantics, tuning),
     ]
     if top_queries == ARRAY:
@@ -334,48 +408,15 @@ def domain_report(
     )
 
 
-def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints at ``spark.checkpoint.dir``; a local session may fall back to a
-    temporary folder, a cluster must name a shared one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
 def domain_descendants(
     domain_assets: DataFrame, tuning: Tuning = DEFAULT_TUNING
 ) -> DataFrame:
     """``ancestor, descendant, depth`` of the namespace hierarchy, one row per pair.
 
-    ``depth`` is the least number of steps. Every pair climbs one parent per round, as long as new
-    pairs come up: a pair met before, by another way or around a cycle, climbs no further. So the
-    rows of a round are bounded by the pairs, and the rounds by the depth. A parent that is no node
-    itself ends the climb. Each round is checkpointed.
+    ``depth`` is the least number of steps; see ``closure.descendants``. A parent that is no node
+    itself is no ancestor.
     """
-    spark = domain_assets.sparkSession
-    use_checkpoint_dir(spark)
     nodes = domain_assets.selectExpr("_id AS node").distinct()
     listed = domain_assets.where("parent IS NOT NULL").selectExpr("_id AS child", "parent")
-    parents = lookup_join(listed.distinct(), nodes, "parent", "node", tuning=tuning).checkpoint()
-    pair = ["ancestor", "descendant"]
-    frontier = (
-        parents.where("parent <> child")
-        .selectExpr("parent AS ancestor", "child AS descendant", "1 AS depth")
-        .checkpoint()
-    )
-    seen = frontier
-    while not frontier.isEmpty():
-        climbed = lookup_join(frontier, parents, "ancestor", "child", tuning=tuning)
-        frontier = (
-            climbed.selectExpr("parent AS ancestor", "descendant", "depth + 1 AS depth")
-            .where("ancestor <> descendant")
-            .dropDuplicates(pair)
-            .join(seen.select(*pair), pair, "left_anti")
-            .checkpoint()
-        )
-        seen = seen.unionByName(frontier)
-    return seen
+    parents = lookup_join(listed.distinct(), nodes, "parent", "node", tuning=tuning)
+    return descendants(parents, tuning)

@@ -7,29 +7,19 @@ contacts with their designation, and the names of the governed tags.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from cartulary.functions.jsonx import VALUE, Field, read_fields
+from cartulary.functions.jsonx import VALUE, Field, quote, read_fields, read_for_filter
 from cartulary.operators.grain import ASSET_TAG, apply_grain
-from cartulary.operators.refs import (
-    ID,
-    contacts_info,
-    creator_email,
-    follower_emails,
-    tag_names,
-    user_lookup,
-)
-from cartulary.operators.skew import fits_broadcast, lookup_join
+from cartulary.operators.refs import CONTACTS as _CONTACTS
+from cartulary.operators.refs import FOLLOWED_BY as _FOLLOWED_BY
+from cartulary.operators.refs import ID, LISTS, entity_references
+from cartulary.operators.refs import TAG_IDS as _TAG_IDS
 from cartulary.semantics import DEFAULT_TUNING, VARIANT, Semantics, Tuning
 from cartulary.sources.catalog import OPTIONAL_DOCUMENTS, Catalog
 
-_FOLLOWED_BY = Field("asset_followers_followedBy", "asset_followers", "followedBy", VALUE)
-_CONTACTS = Field("asset_contacts_contacts", "asset_contacts", "contacts", VALUE)
-_TAG_IDS = Field(
-    "asset_governed_tags_governedTagIds", "asset_governed_tags", "governedTagIds", VALUE
-)
 _AUDIT = ("_created_at", "last_modified_at", "last_ingested_at")
 _REFERENCES = ("asset_followers", "asset_contacts", "asset_governed_tags")
 
@@ -110,14 +100,21 @@ def own_columns(
     report: Report,
     extra: Sequence[str] = (),
     semantics: Semantics = VARIANT,
+    for_filter: bool = False,
 ) -> DataFrame:
-    """The report's own columns, read before any join so that no document is shuffled twice."""
+    """The report's own columns, read before any join so that no document is shuffled twice.
+
+    The lists of references are left to ``attach_references``, which reads their documents.
+    ``for_filter`` is for plain text whose fields are filtered on.
+    """
     present = {name.lower() for name in source.columns}
     keep = [*report.plain, *(name for name in report.optional if name in present), *extra]
     absent = {field.doc for field in report.fields} - present
     if missing := absent - set(OPTIONAL_DOCUMENTS.get(report.table, ())):
         raise ValueError(f"{report.table} has no column {', '.join(sorted(missing))}")
-    fields = [field for field in report.fields if field.doc in present]
+    fields = [field for field in report.fields if field.doc in present and field not in LISTS]
+    if for_filter:
+        return read_for_filter(source, keep, fields)
     return read_fields(source, keep, fields, semantics)
 
 
@@ -125,31 +122,39 @@ def attach_references(
     base: DataFrame,
     source: DataFrame,
     catalog: Catalog,
+    report: Report,
     keys: Sequence[str] = ID,
     semantics: Semantics = VARIANT,
     tuning: Tuning = DEFAULT_TUNING,
+    actor: Field | None = None,
 ) -> DataFrame:
-    """Left-join the gathered references of ``source`` onto ``base``.
+    """Left-join the gathered references of ``source`` onto ``base``, and order the columns.
 
-    Every gathered side is grouped by ``keys``, so ``base`` is shuffled once for all of them.
+    The references are gathered by ``keys`` in one shuffle, as is ``base``.
     """
     resources, users = catalog.require("user_defined_resource", "users")
-    gathered = (
-        tag_names(source, resources, keys, semantics, tuning),
-        follower_emails(source, users, keys, semantics, tuning),
-        contacts_info(source, resources, users, keys, semantics, tuning),
-    )
-    for side in gathered:
-        base = base.join(side, list(keys), "left")
-    return base
+    gathered = entity_references(source, resources, users, keys, semantics, actor, tuning)
+    joined = base.join(gathered, list(keys), "left")
+    read = [field.column for field in report.fields if field in LISTS or field.column in base.columns]
+    first = [name for name in base.columns if name not in read]
+    creator = ["creator_email"] if actor else []
+    found = ["tag_names", "n_tags", "asset_followers_emails", "asset_contacts_info"]
+    return joined.select(*map(quote, [*first, *read, *creator, *found]))
 
 
 def _entity_report(
-    catalog: Catalog, report: Report, grain: str, semantics: Semantics, tuning: Tuning
+    catalog: Catalog,
+    report: Report,
+    grain: str,
+    semantics: Semantics,
+    tuning: Tuning,
+    actor: Field | None = None,
 ) -> DataFrame:
     (source,) = catalog.require(report.table)
     base = own_columns(source, report, semantics=semantics)
-    attached = attach_references(base, source, catalog, semantics=semantics, tuning=tuning)
+    attached = attach_references(
+        base, source, catalog, report, semantics=semantics, tuning=tuning, actor=actor
+    )
     return apply_grain(attached, grain, semantics)
 
 
@@ -188,19 +193,8 @@ def knowledge_card_report(
 ) -> DataFrame:
     """As the other reports, with the email of the card's creator.
 
-    One creator may have written a large share of the cards. When the users are too many to
-    broadcast, only card ids and creators are shuffled by creator, not the cards.
+    The creator is one of the card's references: one user may have written a large share of the
+    cards, and when the users are too many to broadcast, ids are shuffled by creator, not the cards.
     """
-    cards, users = catalog.require("knowledge_cards", "users")
-    emails = user_lookup(users, email="creator_email")
-    if fits_broadcast(emails, tuning):
-        actor = Field("__actor", "knowledge_card_info", "created.actor")
-        report = replace(KNOWLEDGE_CARDS, fields=(*KNOWLEDGE_CARDS.fields, actor))
-        base = own_columns(cards, report, semantics=semantics)
-        base = lookup_join(base, emails, "__actor", "user_key", "left", tuning).drop("__actor")
-    else:
-        base = own_columns(cards, KNOWLEDGE_CARDS, semantics=semantics).join(
-            creator_email(cards, users, tuning).select("id", "creator_email"), "id", "left"
-        )
-    attached = attach_references(base, cards, catalog, semantics=semantics, tuning=tuning)
-    return apply_grain(attached, grain, semantics)
+    actor = Field("actor", "knowledge_card_info", "created.actor")
+    return _entity_report(catalog, KNOWLEDGE_CARDS, grain, semantics, tuning, actor)

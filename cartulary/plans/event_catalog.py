@@ -133,6 +133,17 @@ def column_name(name: str) -> str:
     return name.upper()
 
 
+def meaning(event_type: str) -> str:
+    """What an event of the type tells, from the parts of its name: area, subject and what happened."""
+    prefix = template_prefix(event_type)
+    if prefix is not None:
+        return f"A user opened a page; the type ends with its name ({prefix.strip()})."
+    area, *subject = event_type.replace("_", " ").split(" ")
+    *thing, action = subject or [area]
+    was = "" if action in ("failed", "clicked through") else "was "
+    return f"{area}: {' '.join(thing)} {was}{action}." if thing else f"{area}: {action}."
+
+
 def known_type(event_type: str) -> str:
     """The dictionary's entry for an event type; an unknown type is an error."""
     table = event_properties_by_type()

@@ -13,7 +13,9 @@ from cartulary.plans.event_catalog import (
     event_properties_by_type,
     is_type,
     known_type,
+    meaning,
 )
+from cartulary.operators.ordinals import with_ordinals
 
 # Event types of the ready-made queries.
 SAVED_SEARCH_CREATED = "Engagement saved_search created"
@@ -63,6 +65,56 @@ def event_type_properties(events: DataFrame) -> DataFrame:
     )
 
 
+#: Values shown of each property, at most.
+SAMPLES = 3
+
+
+def event_profile(events: DataFrame) -> DataFrame:
+    """The event dictionary with what the events hold: one row per type and property.
+
+    ``EVENT_TYPE, DESCRIPTION, PROPERTY, COLUMN_NAME, EVENTS, FILLED, SAMPLE_VALUES``: how often the
+    type occurs, in how many of its events the property has a value, and up to three values, those
+    of the least digests, so every run shows the same. Types that do not occur have zeros; a type
+    without properties has one row. The columns are turned into rows and only the filled ones that
+    the dictionary lists for the type stay; the counts combine before the shuffle.
+    """
+    spark = events.sparkSession
+    present = {name.upper() for name in events.columns}
+    dictionary = event_dictionary(spark)
+    columns = sorted(
+        {column_name(n) for names in event_properties_by_type().values() for n in names} & present
+    )
+    typed = events.select(entry_name().alias("entry"), *(F.col(c).cast("string").alias(c) for c in columns))
+    filled = typed.unpivot("entry", columns, "column_name", "value").where("value IS NOT NULL")
+    listed = F.broadcast(dictionary.select(F.col("event_type").alias("entry"), "column_name").distinct())
+    samples = [F.expr(f"min_by(value, md5('{k}' || value))") for k in range(SAMPLES)]
+    found = (
+        filled.join(listed, ["entry", "column_name"])
+        .groupBy("entry", "column_name")
+        .agg(F.count(F.lit(1)).alias("FILLED"), F.array_distinct(F.array(*samples)).alias("SAMPLE_VALUES"))
+    )
+    counts = events.groupBy(entry_name().alias("entry")).agg(F.count(F.lit(1)).alias("EVENTS"))
+    told = spark.createDataFrame(
+        [(name, meaning(name)) for name in event_properties_by_type()], "event_type string, description string"
+    )
+    zero = F.lit(0).cast("long")
+    return (
+        dictionary.join(F.broadcast(told), "event_type")
+        .withColumnRenamed("event_type", "entry")
+        .join(counts, "entry", "left")
+        .join(found, ["entry", "column_name"], "left")
+        .select(
+            F.col("entry").alias("EVENT_TYPE"),
+            F.col("description").alias("DESCRIPTION"),
+            F.col("property").alias("PROPERTY"),
+            F.col("column_name").alias("COLUMN_NAME"),
+            F.coalesce("EVENTS", zero).alias("EVENTS"),
+            F.coalesce("FILLED", zero).alias("FILLED"),
+            F.coalesce("SAMPLE_VALUES", F.array().cast("array<string>")).alias("SAMPLE_VALUES"),
+        )
+    )
+
+
 def saved_searches(events: DataFrame) -> DataFrame:
     return _select(events, SAVED_SEARCH_CREATED, ("name", "keyword", "context", "facetsJSON"))
 
@@ -89,6 +141,13 @@ def popularity(
     return ranked if top is None else ranked.limit(top)
 
 
+def ranking(events: DataFrame, event_type: str, column: str) -> DataFrame:
+    """All values of ``popularity`` with their place, ``RANK`` from 1; equal counts by value."""
+    counted = popularity(events, event_type, column)
+    order = [F.col("COUNT").desc(), F.col(column_name(column))]
+    return with_ordinals(counted, order, "RANK")
+
+
 def popular_queries(events: DataFrame, top: int | None = None) -> DataFrame:
     return popularity(events, SEARCH, "query", top)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from cartulary.operators.uniqueness import LookupCheck
+
 
 @dataclass(frozen=True)
 class Semantics:
@@ -40,10 +42,13 @@ class Tuning:
     hot_rows
         A key with at least this many rows is hot and split into pieces of about this size. So hot
         keys are at most one for each ``hot_rows`` rows.
+    lookups
+        Told the rows and distinct keys of every look-up, see ``LookupCheck``.
     """
 
     broadcast_bytes: int | None = None
     hot_rows: int = 1_000_000
+    lookups: LookupCheck | None = None
 
 
 DEFAULT_TUNING = Tuning()

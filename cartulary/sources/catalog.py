@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartulary.functions.jsonx import elements, quote
+
 # The JSON document columns of each catalog table.
 DOCUMENT_COLUMNS = {
     "datasets": (
@@ -67,10 +69,10 @@ def checked_prefix(schema: str | None) -> str:
 
 
 def normalize_catalog(df: DataFrame, kind: str) -> DataFrame:
-    """Unify column names in lower case, and give every document column as JSON text.
+    """Unify column names in lower case, and give every document column as text or a variant.
 
-    A document column may arrive as text, as a variant or as a nested column, and so may a column
-    that holds a list of ids, which becomes an array of strings.
+    Text and variants stay as they are; a nested column becomes a variant. A column that holds a list
+    of ids may come in each of these forms and becomes an array of strings.
     """
     if kind not in DOCUMENT_COLUMNS:
         raise ValueError(f"unknown catalog table {kind!r}; known: {sorted(DOCUMENT_COLUMNS)}")
@@ -83,20 +85,26 @@ def normalize_catalog(df: DataFrame, kind: str) -> DataFrame:
     }
     df = df.withColumnsRenamed(renames)
     types = {field.name.lower(): field for field in df.schema.fields}
-    as_text = {}
+    shaped = {}
     for name in DOCUMENT_COLUMNS[kind]:
         field = types.get(name)
-        if field is not None and not isinstance(field.dataType, T.StringType):
-            as_text[field.name] = F.to_json(F.col(field.name))
+        if field is None or isinstance(field.dataType, (T.StringType, T.VariantType)):
+            continue
+        shaped[field.name] = F.to_variant_object(F.col(field.name))
     for name in LIST_COLUMNS.get(kind, ()):
         field = types.get(name)
         if field is None or field.dataType == T.ArrayType(T.StringType()):
             continue
-        text = F.col(field.name)
-        if not isinstance(field.dataType, T.StringType):
-            text = F.to_json(text)
-        as_text[field.name] = F.from_json(text, "ARRAY<STRING>")
-    return df.withColumns(as_text) if as_text else df
+        shaped[field.name] = F.expr(_id_list(quote(field.name), field.dataType))
+    return df.withColumns(shaped) if shaped else df
+
+
+def _id_list(column: str, kind: T.DataType) -> str:
+    if isinstance(kind, T.StringType):
+        return elements(column)
+    if isinstance(kind, T.VariantType):
+        return f"try_variant_get({column}, '$', 'array<string>')"
+    return f"CAST({column} AS ARRAY<STRING>)"
 
 
 def duplicate_ids(df: DataFrame, key: str = "id") -> DataFrame:

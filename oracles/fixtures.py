@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.sources.catalog import Catalog
+from cartulary.plans.event_catalog import event_properties_by_type
+from cartulary.sources.catalog import Catalog, table_names
 
 
 def _text(expression: str) -> str:
@@ -191,6 +192,65 @@ CASE WHEN event_type = 'view' THEN 'answer ' || CAST(event_id % 50 AS STRING) EL
 CASE WHEN event_type = 'view' THEN '["https://example.com/' || CAST(event_id % 20 AS STRING) || '"]' ELSE NULL END AS searchresults
 """
 
+# Chains of 20 nodes, each with a way around two of them and a cycle.
+_CHAIN = """
+'N~' || CAST(p_partkey AS STRING) AS _id,
+CASE WHEN p_partkey % 20 <> 0 THEN 'N~' || CAST(p_partkey - 1 AS STRING) END AS parent
+"""
+_SHORT_CUTS = """
+'N~' || CAST(p_partkey AS STRING) AS _id,
+CASE p_partkey % 20 WHEN 7 THEN 'N~' || CAST(p_partkey - 3 AS STRING)
+     WHEN 2 THEN 'N~' || CAST(p_partkey + 9 AS STRING) END AS parent
+"""
+
+# Documents on which readers of JSON may disagree, by the remainder of the key.
+EDGE_DOCUMENTS = (
+    """'{"a":"x","b":{"c":' || n || '},"list":[1,"z",{"k":2}]}'""",
+    """'{"a":"first","a":"last' || n || '","b":{"c":1,"c":2}}'""",
+    """'{"a":"x' || n || '"} tail'""",
+    """'{"a":"x","b":{"c":' || n""",
+    """'{"a":"x' || n || '","list":["z"'""",
+    """'{"a":"q' || chr(92) || '"' || chr(92) || 'u0041' || chr(92) || 'n' || n || '","list":[]}'""",
+    """'[{"a":"x' || n || '"}]'""",
+    """'{"a":null,"b":null,"list":null}'""",
+    """'{"a":{"k": [1, ' || n || ']},"b":"text","list":"none"}'""",
+    """'{' || chr(39) || 'a' || chr(39) || ':' || chr(39) || 'x' || n || chr(39) || '}'""",
+    """'{"a":1.50,"b":{"c":true},"list":[null,1e3]}'""",
+    """'{"a":NaN,"list":["z"]}'""",
+    """''""",
+    """NULL""",
+    """'  {"b" : {"c" : "y' || n || '"}}  '""",
+)
+
+_EDGES = (
+    "p_partkey AS id, CASE p_partkey % "
+    + str(len(EDGE_DOCUMENTS))
+    + " ".join(f" WHEN {i} THEN {doc}" for i, doc in enumerate(EDGE_DOCUMENTS)).replace(
+        "|| n", "|| CAST(p_partkey AS STRING)"
+    )
+    + " END AS doc"
+)
+
+
+def _profile_events() -> str:
+    """Events of every type of the dictionary, each property filled in most events of its types."""
+    table = event_properties_by_type()
+    kinds = " ".join(
+        f"WHEN {i} THEN " + (f"'{name}'" if "[" not in name else f"'{name.partition('[')[0]}' || CAST(event_id % 5 AS STRING)")
+        for i, name in enumerate(table)
+    )
+    holders: dict[str, list[str]] = {}
+    for i, names in enumerate(table.values()):
+        for name in names:
+            holders.setdefault(name.lower(), []).append(str(i))
+    columns = [
+        f"CASE WHEN event_id % {len(table)} IN ({', '.join(where)}) AND event_id % 4 <> 0 "
+        f"THEN '{name} ' || CAST(event_id % 17 AS STRING) END AS {name}"
+        for name, where in holders.items()
+    ]
+    return f"event_id, CASE event_id % {len(table)} {kinds} END AS event_type, {', '.join(columns)}"
+
+
 # Derived table: the test tables it is read from, each with its select list.
 RECIPES: dict[str, tuple[tuple[str, str], ...]] = {
     "users": (("customer", _USERS),),
@@ -202,6 +262,9 @@ RECIPES: dict[str, tuple[tuple[str, str], ...]] = {
     "namespaces": (("supplier", _NAMESPACES),),
     "domain_assets": (("supplier", _DOMAIN_ASSETS),),
     "usage_events": (("events", _EVENTS),),
+    "profile_events": (("events", _profile_events()),),
+    "edge_documents": (("part", _EDGES),),
+    "hierarchy": (("part", _CHAIN), ("part", _SHORT_CUTS)),
 }
 
 
@@ -216,26 +279,15 @@ SOURCE_SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string",
 }
 
-# Test tables with enough rows to be worth spreading.
-LARGE_SOURCES = ("part", "orders")
-
-
 def recipe_sql(table: str) -> str:
     """The recipe as one query over the test tables."""
     return " UNION ALL ".join(f"SELECT {select} FROM {source}" for source, select in RECIPES[table])
 
 
 def _read(spark: SparkSession, sf_dir: str, source: str) -> str:
-    """Name of a view of a test table, spread over the cores.
-
-    A test table is one small file, read by one task. The rows are spread by key before the
-    documents are built, so that building and parsing them is parallel as it is on the many
-    files of a real table.
-    """
+    """Name of a view of a test table."""
     view = f"source_{source}"
     rows = spark.read.schema(SOURCE_SCHEMAS[source]).parquet(f"{sf_dir}/{source}.parquet")
-    if source in LARGE_SOURCES:
-        rows = rows.repartition(spark.sparkContext.defaultParallelism, rows.columns[0])
     rows.createOrReplaceTempView(view)
     return view
 
@@ -260,7 +312,7 @@ def derived_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def derived_catalog(spark: SparkSession, sf_dir: str, *names: str) -> Catalog:
     """The named catalog tables, all of them by default."""
-    wanted = names or [name for name in RECIPES if name != "usage_events"]
+    wanted = names or table_names()
     return Catalog.from_frames(**{name: derived_table(spark, sf_dir, name) for name in wanted})
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import types as T
 import cartulary as c
 from cartulary.operators import refs
 from cartulary.sources.catalog import DOCUMENT_COLUMNS, Catalog
-from cartulary.sources.fixtures import derived_catalog, derived_events
+from cartulary.functions.jsonx import Field, read_fields, text_array
+from oracles.fixtures import derived_catalog, derived_events, derived_table
 from oracles.sql import NULL_TEXT
 
 
@@ -63,16 +65,56 @@ def _merged(t: Catalog) -> DataFrame:
     return c.merged_descriptions(t).select("id", F.to_json("descriptions").alias("descriptions"))
 
 
-def _variant_input(t: Catalog) -> DataFrame:
-    """The dataset report from tables whose documents are variants."""
-    variants = {n: F.expr(f"parse_json({n})") for n in DOCUMENT_COLUMNS["datasets"]}
-    return c.dataset_report(
-        Catalog.from_frames(
-            datasets=t.datasets.withColumns(variants),
-            users=t.users.withColumn("logical_id", F.expr("parse_json(logical_id)")),
-            user_defined_resource=t.user_defined_resource,
-        )
-    )
+def _other_form(t: Catalog) -> Catalog:
+    """The same tables with upper-case names, documents as variants and lists as JSON text."""
+    tables = {}
+    for name, documents in DOCUMENT_COLUMNS.items():
+        df = getattr(t, name)
+        if df is None:
+            continue
+        shaped = {x: F.parse_json(F.col(x)) for x in documents if x in df.columns}
+        if name == "domain_assets":
+            shaped = {x: F.to_json(x) for x in ("live_query_assets", "selected_assets")}
+        df = df.withColumns(shaped)
+        tables[name] = df.toDF(*(x.upper() for x in df.columns))
+    return Catalog.from_frames(**tables)
+
+
+def _variant_input(report, tables: str):
+    return _catalog(lambda t: report(_other_form(t)), tables)
+
+
+def _edge_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One field read alone and with others, from text and from a variant of the same text."""
+    docs = derived_table(spark, sf_dir, "edge_documents")
+    held = docs.selectExpr("id", "doc", f"{text_array(docs, 'doc', 'list')} AS elements")
+    a = Field("a", "doc", "a")
+    many = read_fields(held, ["id", "elements"], [a, Field("c", "doc", "b.c"), Field("list", "doc", "list")])
+    alone = read_fields(docs, ["id"], [Field("a_alone", "doc", "a")])
+    variants = docs.select("id", F.try_parse_json("doc").alias("doc"))
+    v = read_fields(variants, ["id"], [Field("v_a", "doc", "a"), Field("v_list", "doc", "list")])
+    return comparable(many.join(alone, "id").join(v, "id"), keep_nulls=True)
+
+
+def _schema(spark: SparkSession) -> str:
+    """A new schema for tables that a query writes and reads."""
+    name = f"stored_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE SCHEMA {name}")
+    return name
+
+
+def _stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dataset report from tables bucketed by id, through the loaders."""
+    schema = _schema(spark)
+    c.save_catalog(spark, derived_catalog(spark, sf_dir, *_DATASETS.split()), schema, buckets=8)
+    return comparable(c.dataset_report(c.load_catalog(spark, schema)))
+
+
+def _stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A usage query over events partitioned by type, through the loader of a tenant's table."""
+    schema = _schema(spark)
+    c.save_events(spark, derived_events(spark, sf_dir), "acme", schema)
+    return c.popular_queries(c.load_events(spark, "acme", schema))
 
 
 def _names_only(grain: str):
@@ -101,9 +143,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             lambda e: c.event_properties(e, "Search semantic search attempted")
         ),
         "event_type_properties": _events(c.event_type_properties),
+        "event_profile": lambda spark, sf_dir: comparable(
+            c.event_profile(derived_table(spark, sf_dir, "profile_events"))
+        ),
+        "event_ranking": _events(lambda e: c.ranking(e, "Search search attempted", "query")),
+        "popular_queries_stored": _stored_events,
         "sample_events": _events(
             lambda e: c.sample_events(e).agg(F.count(F.lit(1)).alias("n_events"))
         ),
+        # documents
+        "json_edge_cases": _edge_cases,
         # references
         "explode_tags": _catalog(lambda t: refs.tag_ids(t.datasets), "datasets"),
         "explode_followers": _catalog(lambda t: refs.follower_ids(t.datasets), "datasets"),
@@ -136,7 +185,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dataset_report_by_asset": _catalog(
             lambda t: c.dataset_report(t, grain="asset"), _DATASETS
         ),
-        "dataset_report_variant_input": _catalog(_variant_input, _DATASETS),
+        "dataset_report_variant_input": _variant_input(c.dataset_report, _DATASETS),
+        "dataset_report_stored": _stored_report,
         "dataset_report_presto": _presto(c.dataset_report, _DATASETS),
         "dashboard_report": _catalog(c.dashboard_report, _DASHBOARDS),
         "dashboard_report_presto": _presto(c.dashboard_report, _DASHBOARDS),
@@ -144,7 +194,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "virtual_view_report_presto": _presto(c.virtual_view_report, _VIEWS),
         "knowledge_card_report": _catalog(c.knowledge_card_report, _CARDS),
         "knowledge_card_report_presto": _presto(c.knowledge_card_report, _CARDS),
+        "knowledge_card_report_variant_input": _variant_input(c.knowledge_card_report, _CARDS),
         "user_report": _catalog(c.user_report, "users"),
+        "user_report_variant_input": _variant_input(c.user_report, "users"),
         "user_report_presto": _presto(c.user_report, "users"),
         # curated datasets
         "merged_descriptions": _catalog(_merged, "datasets knowledge_cards users"),
@@ -157,6 +209,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             ),
             _CURATED,
         ),
+        "curated_dataset_places": _catalog(c.curated_dataset_places, _CURATED),
         # domains
         "domain_classification": _catalog(
             lambda t: c.domain_classification(t.namespaces), "namespaces"
@@ -171,6 +224,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "domain_descendants": _catalog(
             lambda t: c.domain_descendants(t.domain_assets), "domain_assets"
         ),
+        "graph_descendants": lambda spark, sf_dir: c.domain_descendants(
+            derived_table(spark, sf_dir, "hierarchy")
+        ),
         "domain_tags": _catalog(c.domain_tags, _NAMESPACES),
         "domain_followers": _catalog(c.domain_followers, _NAMESPACES),
         "domain_contacts": _catalog(c.domain_contacts, _NAMESPACES),
@@ -178,5 +234,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "domain_description": _catalog(c.domain_description, "namespaces knowledge_cards"),
         "domain_queries_long": _catalog(c.domain_queries_long, "domain_assets knowledge_cards"),
         "domain_top_queries": _catalog(c.domain_top_queries, "domain_assets knowledge_cards"),
+        "domain_query_sizes": _catalog(c.domain_query_sizes, "domain_assets knowledge_cards"),
         "domain_report": _catalog(c.domain_report, _DOMAINS),
+        "domain_report_variant_input": _variant_input(c.domain_report, _DOMAINS),
     }

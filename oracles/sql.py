@@ -7,7 +7,8 @@ have no order, so both sides show them as sorted text.
 
 from __future__ import annotations
 
-from cartulary.sources.fixtures import recipe_sql
+from cartulary.plans.event_catalog import event_properties_by_type, meaning
+from oracles.fixtures import EDGE_DOCUMENTS, recipe_sql
 
 NULL_TEXT = "<null>"
 
@@ -390,8 +391,70 @@ def _properties(event_type: str, *columns: str) -> str:
     )
 
 
+# What each field of the edge documents reads as, by their place; a text not listed is NULL.
+_N = "CAST(p_partkey AS VARCHAR)"
+_EDGE_VALUES = {
+    "a": {
+        0: "'x'", 1: f"'last' || {_N}", 2: f"'x' || {_N}", 5: f"'q' || chr(34) || 'A' || chr(10) || {_N}",
+        8: f"""'{{"k":[1,' || {_N} || ']}}'""", 10: "'1.5'",
+    },
+    "c": {0: _N, 1: "'2'", 10: "'true'", 14: f"'y' || {_N}"},
+    "list": {0: """'[1,"z",{"k":2}]'""", 5: "'[]'", 8: "'none'", 10: "'[null,1000.0]'"},
+    "elements": {0: """'1|z|{"k":2}'""", 5: "''", 10: f"'1000.0|{NULL_TEXT}'"},
+}
+_EDGE_VALUES["a_alone"] = _EDGE_VALUES["a"]
+# A document with a repeated key is no variant.
+_EDGE_VALUES["v_a"] = {k: v for k, v in _EDGE_VALUES["a"].items() if k != 1}
+_EDGE_VALUES["v_list"] = _EDGE_VALUES["list"]
+
+
+def _edge_cases() -> str:
+    columns = [
+        f"CASE p_partkey % {len(EDGE_DOCUMENTS)} "
+        + " ".join(f"WHEN {k} THEN {value}" for k, value in by_place.items())
+        + f" END AS {name}"
+        for name, by_place in _EDGE_VALUES.items()
+    ]
+    return f"SELECT p_partkey AS id, {', '.join(columns)} FROM part"
+
+
+def _event_profile() -> str:
+    """Each type and property apart, from the plain table."""
+    table = event_properties_by_type()
+    parts = []
+    for name, properties in table.items():
+        prefix, bracket, _ = name.partition("[")
+        rows = f"FROM profile_events WHERE {f'starts_with(event_type, {chr(39)}{prefix}{chr(39)})' if bracket else f'event_type = {chr(39)}{name}{chr(39)}'}"
+        head = f"SELECT '{name}' AS \"EVENT_TYPE\", '{meaning(name)}' AS \"DESCRIPTION\", "
+        for p in properties:
+            samples = ", ".join(f"arg_min({p}, md5('{k}' || {p}))" for k in range(3))
+            shown = f"coalesce({_show(f'list_distinct([{samples}])')}, '')"
+            parts.append(
+                f"{head}'{p}' AS \"PROPERTY\", '{p.upper()}' AS \"COLUMN_NAME\", count(*) AS \"EVENTS\", "
+                f"count({p}) AS \"FILLED\", {shown} AS \"SAMPLE_VALUES\" {rows}"
+            )
+        if not properties:
+            parts.append(
+                f"{head}NULL AS \"PROPERTY\", NULL AS \"COLUMN_NAME\", count(*) AS \"EVENTS\", "
+                f"0 AS \"FILLED\", '' AS \"SAMPLE_VALUES\" {rows}"
+            )
+    return _with("profile_events", {}, " UNION ALL ".join(parts))
+
+
 def oracle_sql() -> dict[str, str]:
     dataset_links = _links("datasets")
+    domain_report = _with(
+        f"namespaces domain_assets knowledge_cards dashboards datasets virtual_views {LOOKUPS}",
+        _NS | _NS_TEXT | _ASSET_NAMES | _TOP_QUERIES,
+        f"SELECT {_classes()}, n.last_modified_at AS last_modified, c.created_by, "
+        f"{_at('n.namespace_info', 'created.time')} AS created_at, k.contacts, t.tags AS asset_tags, "
+        "x.description, f.followers, a.assets, q.top_queries FROM namespaces n "
+        "LEFT JOIN tag_list t ON n.id = t.eid LEFT JOIN follow_list f ON n.id = f.eid "
+        "LEFT JOIN contact_list k ON n.id = k.eid LEFT JOIN creator_list c ON n.id = c.eid "
+        "LEFT JOIN asset_list a ON n.id = a.eid LEFT JOIN texts x ON n.id = x.eid "
+        "LEFT JOIN query_list q ON n.id = q.eid "
+        f"WHERE n.deleted_at IS NULL AND {_at('n.namespace_info', 'detail.type')} IN ('DATA_GROUP', 'DATA_UNIT')",
+    )
     return {
         # usage
         "sample_events": _with(
@@ -434,6 +497,15 @@ def oracle_sql() -> dict[str, str]:
             'upper(property) AS "COLUMN_NAME" FROM usage_events LEFT JOIN listed ON kind = event_type '
             "GROUP BY event_type, property",
         ),
+        "event_profile": _event_profile(),
+        "event_ranking": _with(
+            "usage_events", {},
+            "SELECT query AS \"QUERY\", count(*) AS \"COUNT\", row_number() OVER (ORDER BY count(*) DESC, query NULLS FIRST) AS \"RANK\" "
+            "FROM usage_events WHERE event_type = 'Search search attempted' GROUP BY query",
+        ),
+        "popular_queries_stored": _popular("Search search attempted", "query"),
+        # documents
+        "json_edge_cases": _edge_cases(),
         # references
         "explode_tags": _with("datasets", {"l": _elements("datasets", "asset_governed_tags", "governedTagIds")},
                               "SELECT eid AS id, ref AS tag_id FROM l"),
@@ -464,6 +536,7 @@ def oracle_sql() -> dict[str, str]:
         "dataset_report": _entity("datasets", _dataset_columns()),
         "dataset_report_by_asset": _entity("datasets", _dataset_columns(), by_asset=True),
         "dataset_report_variant_input": _entity("datasets", _dataset_columns()),
+        "dataset_report_stored": _entity("datasets", _dataset_columns()),
         "dataset_report_presto": _entity("datasets", _dataset_columns(True), nulls=True),
         "dashboard_report": _entity("dashboards", _dashboard_columns()),
         "dashboard_report_presto": _entity("dashboards", _dashboard_columns(True), nulls=True),
@@ -471,7 +544,9 @@ def oracle_sql() -> dict[str, str]:
         "virtual_view_report_presto": _entity("virtual_views", _view_columns(True), nulls=True),
         "knowledge_card_report": _card_report(),
         "knowledge_card_report_presto": _card_report(nulls=True),
+        "knowledge_card_report_variant_input": _card_report(),
         "user_report": _user_report(),
+        "user_report_variant_input": _user_report(),
         "user_report_presto": _user_report(nulls=True),
         # curated datasets
         "merged_descriptions": _with(
@@ -479,6 +554,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "curated_dataset_report": _curated(),
         "curated_dataset_report_once": _curated(once=True),
+        "curated_dataset_places": (
+            "SELECT *, row_number() OVER (ORDER BY schema_description NULLS LAST, id) AS place "
+            f"FROM ({_curated(once=True)})"
+        ),
         # domains
         "domain_classification": _with("namespaces", {}, f"SELECT {_classes()} FROM namespaces n"),
         "domain_asset_details": _with(
@@ -502,6 +581,18 @@ def oracle_sql() -> dict[str, str]:
             },
             "SELECT ancestor, descendant, min(depth) AS depth FROM up GROUP BY ALL",
         ),
+        "graph_descendants": _with(
+            "hierarchy",
+            {
+                "up": (
+                    "SELECT parent AS ancestor, _id AS descendant, 1 AS depth FROM hierarchy WHERE parent IS NOT NULL "
+                    "UNION SELECT h.parent, up.descendant, up.depth + 1 FROM up JOIN hierarchy h ON h._id = up.ancestor "
+                    "WHERE h.parent IS NOT NULL AND up.depth < 20"
+                )
+            },
+            "SELECT ancestor, descendant, min(depth) AS depth FROM up "
+            "WHERE ancestor <> descendant AND ancestor IN (SELECT _id FROM hierarchy) GROUP BY ALL",
+        ),
         "domain_tags": _with(f"namespaces {LOOKUPS}", _NS, "SELECT eid AS id, tags FROM tag_list"),
         "domain_followers": _with(f"namespaces {LOOKUPS}", _NS, "SELECT eid AS id, followers FROM follow_list"),
         "domain_contacts": _with(f"namespaces {LOOKUPS}", _NS, "SELECT eid AS id, contacts FROM contact_list"),
@@ -515,16 +606,12 @@ def oracle_sql() -> dict[str, str]:
             "domain_assets knowledge_cards", _LISTED | _TOP_QUERIES,
             "SELECT eid AS id, top_queries FROM query_list",
         ),
-        "domain_report": _with(
-            f"namespaces domain_assets knowledge_cards dashboards datasets virtual_views {LOOKUPS}",
-            _NS | _NS_TEXT | _ASSET_NAMES | _TOP_QUERIES,
-            f"SELECT {_classes()}, n.last_modified_at AS last_modified, c.created_by, "
-            f"{_at('n.namespace_info', 'created.time')} AS created_at, k.contacts, t.tags AS asset_tags, "
-            "x.description, f.followers, a.assets, q.top_queries FROM namespaces n "
-            "LEFT JOIN tag_list t ON n.id = t.eid LEFT JOIN follow_list f ON n.id = f.eid "
-            "LEFT JOIN contact_list k ON n.id = k.eid LEFT JOIN creator_list c ON n.id = c.eid "
-            "LEFT JOIN asset_list a ON n.id = a.eid LEFT JOIN texts x ON n.id = x.eid "
-            "LEFT JOIN query_list q ON n.id = q.eid "
-            f"WHERE n.deleted_at IS NULL AND {_at('n.namespace_info', 'detail.type')} IN ('DATA_GROUP', 'DATA_UNIT')",
+        "domain_query_sizes": _with(
+            "domain_assets knowledge_cards", _LISTED | _QUERY_HIT,
+            "SELECT eid AS id, count(*) AS n_queries, CAST(sum(coalesce(strlen(title), 0) + "
+            "coalesce(strlen(explanation), 0) + coalesce(strlen(query), 0)) AS BIGINT) AS n_bytes "
+            "FROM query_hit WHERE card_id IS NOT NULL GROUP BY eid",
         ),
+        "domain_report": domain_report,
+        "domain_report_variant_input": domain_report,
     }

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cartulary import dataset_report, domain_classification, merged_descriptions, popular_queries
 from cartulary.operators import refs
-from cartulary.sources.fixtures import derived_catalog, derived_events
+from oracles.fixtures import derived_catalog, derived_events
 
 SF_DIR = "/root/testdata/sf0.01"
 

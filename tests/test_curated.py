@@ -70,7 +70,7 @@ def test_two_cards_and_two_tags(catalog, tuning):
         [{"id": "d", "tags": ["T1", "T2"]}],
         [("c1", description("d", "one")), ("c2", description("d", "two"))],
     )
-    rows = curated_dataset_report(tables, tuning=tuning).collect()
+    rows = curated_dataset_report(tables, tag_name_copies="repeated", tuning=tuning).collect()
     assert len(rows) == 4
     assert all(sorted(r[NAMES]) == ["n1", "n1", "n2", "n2"] for r in rows)
     assert sorted(r.schema_description for r in rows) == sorted(

@@ -65,7 +65,7 @@ def test_quoted_fields(docs):
 
 
 def test_array_elements_as_text(docs):
-    got = values(docs.selectExpr("id", f"{text_array('doc', 'c')} AS c"))
+    got = values(docs.selectExpr("id", f"{text_array(docs, 'doc', 'c')} AS c"))
     assert got["object"] == (["1", "y", '{"k":2}'],)
     assert got["container"] == (None,)
     assert got["malformed"] == (None,)
@@ -77,7 +77,7 @@ def test_array_index_in_path(spark):
     )
     fields = [Field("x", "doc", "e[0].x"), Field("y", "doc", "y")]
     assert values(read_fields(df, ["id"], fields)) == {1: ("first", None), 2: (None, None), 3: (None, None)}
-    assert [r[0] for r in df.selectExpr(text_at("doc", "e[1].x")).collect()] == ["second", None, None]
+    assert [r[0] for r in df.selectExpr(text_at(df, "doc", "e[1].x")).collect()] == ["second", None, None]
 
 
 def test_schema_is_merged_and_checked():
@@ -100,7 +100,7 @@ def test_may_mention_keeps_escaped_words(spark):
     df = spark.createDataFrame(
         [(1, '{"t":"QUERY"}'), (2, '{"t":"\\u0051UERY"}'), (3, '{"t":"OTHER"}')], "id int, doc string"
     )
-    kept = {r.id for r in df.where(may_mention("doc", "QUERY")).collect()}
+    kept = {r.id for r in df.where(may_mention(df, "doc", "QUERY")).collect()}
     assert kept == {1, 2}
     exact = df.where(F.get_json_object("doc", "$.t") == "QUERY")
     assert {r.id for r in exact.collect()} <= kept

@@ -1,5 +1,7 @@
 """Physical plans: what must and must not be in them."""
 
+import re
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -7,8 +9,8 @@ from pyspark.sql import functions as F
 import cartulary as c
 from cartulary import Tuning
 from cartulary.operators import refs
-from cartulary.sources.catalog import table_names
-from cartulary.sources.fixtures import derived_catalog
+from cartulary.sources.catalog import DOCUMENT_COLUMNS, table_names
+from oracles.fixtures import derived_catalog
 from tests.conftest import SF_DIR
 
 
@@ -52,11 +54,55 @@ def test_entity_scan_reads_only_its_columns(stored):
     assert "logical_id" not in text
 
 
+DOCUMENTS = DOCUMENT_COLUMNS["datasets"]
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def parses(text, document):
+    """How often a plan parses a document: the column is named after the schema and the options."""
+    return len(re.findall(rf"from_json\((?:(?!from_json).)*?\b{document}#\d+", text))
+
+
 def test_each_document_is_parsed_once(stored):
-    base = c.plans.entities.own_columns(stored.datasets, c.plans.entities.DATASETS)
-    text = plan(base)
-    assert text.count("from_json(") == 4
-    assert text.count("get_json_object(") == 6
+    text = optimized(c.dataset_report(stored))
+    # Users have a document of one of these names too.
+    once = dict.fromkeys(DOCUMENTS, 1) | {"logical_id": 2}
+    assert {name: parses(text, name) for name in DOCUMENTS} == once
+    assert "get_json_object" not in text
+
+
+def test_curated_report_parses_each_document_once(stored):
+    text = optimized(c.curated_dataset_report(stored))
+    documents = set(DOCUMENTS) - {"custom_metadata", "logical_id"}
+    assert {name: parses(text, name) for name in documents} == dict.fromkeys(documents, 1)
+
+
+def test_references_are_one_read_and_one_exchange(stored):
+    text = plan(c.dataset_report(stored, grain="asset"))
+    assert len(re.findall(r"FileScan parquet[^\n]*/datasets\]", text)) == 2
+    # The own columns and the gathered references, each by id.
+    assert len(re.findall(r"hashpartitioning\(id#", text)) == 2
+    assert text.count("FileScan parquet") == 4
+
+
+def test_variants_are_read_in_place(stored):
+    documents = {n: F.parse_json(F.col(n)) for n in DOCUMENTS}
+    tables = c.Catalog.from_frames(
+        datasets=stored.datasets.withColumns(documents),
+        users=stored.users,
+        user_defined_resource=stored.user_defined_resource,
+    )
+    text = optimized(c.dataset_report(tables))
+    assert "to_json" not in text
+    assert all(parses(text, name) == 0 for name in DOCUMENTS if name != "logical_id")
+
+
+def test_assets_are_named_in_one_exchange(stored):
+    listed = stored.domain_assets.selectExpr("explode(selected_assets) AS asset")
+    assert plan(c.plans.domains.asset_names(listed, stored)).count("Exchange hash") == 1
 
 
 def test_filters_reach_the_scan(stored):

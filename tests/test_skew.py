@@ -13,7 +13,7 @@ from cartulary.operators.skew import (
     replicate_hot,
     spread_hot,
 )
-from cartulary.sources.fixtures import derived_catalog
+from oracles.fixtures import derived_catalog
 from oracles.registry import comparable
 from tests.conftest import SF_DIR
 

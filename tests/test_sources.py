@@ -11,7 +11,7 @@ from cartulary import (
     user_report,
 )
 from cartulary.sources.catalog import table_names
-from cartulary.sources.fixtures import derived_catalog
+from oracles.fixtures import derived_catalog
 from tests.conftest import SF_DIR
 
 
