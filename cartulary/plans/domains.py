@@ -324,17 +324,25 @@ def domain_query_sizes(catalog: Catalog, tuning: Tuning = DEFAULT_TUNING) -> Dat
     )
 
 
+#: Pieces that the rows of one long list are dealt into.
+PIECES = 256
+
+
 def _gather_in_pieces(
-    rows: DataFrame, entry: str, by: str, name: str, semantics: Semantics, tuning: Tuning
+    rows: DataFrame, entry: str, by: str, name: str, semantics: Semantics
 ) -> DataFrame:
     """``id, name``: as ``_gather``, for lists without a bound.
 
-    The rows of an id are dealt into pieces of about ``hot_rows`` by their key ``by``; a task lists a
-    piece, and what puts the pieces together, in their order, only joins lists.
+    The rows of an id are dealt into pieces by a hash of their key ``by``; a task lists a piece, and
+    what puts the pieces together, in their order, only joins at most ``PIECES`` lists. So a task
+    never reads a long list row by row, and nothing has to be counted first.
     """
-    hot = hot_keys(key_counts(rows, "id"), "id", tuning=tuning)
-    pieces = spread_hot(rows, "id", hot, [by], "__piece")
-    listed = pieces.groupBy("id", "__piece").agg(F.expr(f"{collect(entry, semantics)} AS __list"))
+    piece = f"CAST(pmod(xxhash64({by}), {PIECES}) AS INT) AS __piece"
+    listed = (
+        rows.selectExpr("*", piece)
+        .groupBy("id", "__piece")
+        .agg(F.expr(f"{collect(entry, semantics)} AS __list"))
+    )
     joined = listed.groupBy("id").agg(F.expr("array_sort(collect_list(struct(__piece, __list))) AS __all"))
     return joined.selectExpr("id", f"flatten(transform(__all, p -> p.__list)) AS {name}")
 
@@ -354,7 +362,7 @@ def domain_top_queries(
     found = fan_out_join(
         known, _filled_query_cards(cards), "asset", ["id"], ["card_id"], tuning=tuning
     )
-    gathered = _gather_in_pieces(found, entry, "card_id", "found_queries", semantics, tuning)
+    gathered = _gather_in_pieces(found, entry, "card_id", "found_queries", semantics)
     return (
         listed.select("id")
         .distinct()

@@ -279,15 +279,25 @@ SOURCE_SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string",
 }
 
+# Test tables from which most documents are made.
+SPREAD = ("part", "orders")
+
+
 def recipe_sql(table: str) -> str:
     """The recipe as one query over the test tables."""
     return " UNION ALL ".join(f"SELECT {select} FROM {source}" for source, select in RECIPES[table])
 
 
 def _read(spark: SparkSession, sf_dir: str, source: str) -> str:
-    """Name of a view of a test table."""
+    """Name of a view of a test table.
+
+    A test table is one small file, so one task reads it. The rows of those with most documents are
+    dealt out first: making and parsing them is then parallel, as on the many files of a real table.
+    """
     view = f"source_{source}"
     rows = spark.read.schema(SOURCE_SCHEMAS[source]).parquet(f"{sf_dir}/{source}.parquet")
+    if source in SPREAD:
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.columns[0])
     rows.createOrReplaceTempView(view)
     return view
 
