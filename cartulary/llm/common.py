@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -37,12 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which all executors see; set here only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """``spark.checkpoint.dir``, which all executors see.
+
+    Where it is unset, a folder in the session's warehouse, which they see as well.
+    """
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    return spark.conf.get("spark.checkpoint.dir", f"{warehouse}/_checkpoints")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -82,17 +80,18 @@ def text_chunks(
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of words hashed at a time.
+HASHED = 1 << 20
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(base: int) -> np.ndarray:
-        out = np.full(n, base, U64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base % (1 << 64), U64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-    return run(_BASE), run(_INVERSE)
+
+_UP = _powers(_BASE, HASHED + 1)
+_DOWN = _powers(pow(_BASE, -1, 1 << 64), HASHED + 1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -138,12 +137,28 @@ def words(
     after[tails] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    size = 1 << 23
-    while size < n + 1:
-        size *= 2
-    up, down = _powers(size)
-    total = np.empty(n + 1, U64)
-    total[0] = 0
-    np.cumsum((LOWER[data].astype(U64) + U64(1)) * up[:n], out=total[1:])
-    hashes = (total[ends] - total[starts]) * down[starts]
-    return mix(hashes), np.searchsorted(starts, offsets)
+    sums = np.empty(len(starts), U64)
+    first = 0
+    while first < len(starts):
+        begin = int(starts[first])
+        last = max(first + 1, int(np.searchsorted(ends, begin + HASHED, "right")))
+        if ends[first] - begin > HASHED:
+            sums[first] = _long_sum(data[begin : ends[first]])
+        else:
+            part = data[begin : int(ends[last - 1])]
+            total = np.zeros(len(part) + 1, U64)
+            np.cumsum((LOWER[part].astype(U64) + U64(1)) * _UP[: len(part)], out=total[1:])
+            start = starts[first:last] - begin
+            sums[first:last] = (total[ends[first:last] - begin] - total[start]) * _DOWN[start]
+        first = last
+    return mix(sums), np.searchsorted(starts, offsets)
+
+
+def _long_sum(word: np.ndarray) -> int:
+    """The sum of one word that is longer than what is hashed at a time."""
+    total = 0
+    for at in range(0, len(word), HASHED):
+        part = LOWER[word[at : at + HASHED]].astype(U64) + U64(1)
+        own = int((part * _UP[: len(part)]).sum(dtype=U64))
+        total = (total + own * pow(_BASE, at, 1 << 64)) % (1 << 64)
+    return total

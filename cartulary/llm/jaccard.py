@@ -38,8 +38,10 @@ _IS_WORD = byte_table(SPACES)
 BUCKET = 1 << 20
 #: Shingles of a neighbourhood searched at once.
 BLOCK = 1 << 22
-#: Postings a map task gathers before it deals them out.
-FLUSH = 1 << 22
+#: Postings of 16 bytes a map task gathers before it deals them out; sorting takes five times that.
+FLUSH = 1 << 19
+#: Bytes of text whose words are hashed together.
+CHUNK = 1 << 20
 #: Size of the filter that picks the classes left out of all texts; full, it lets more through.
 FILTER_BITS = 1 << 26
 #: DivideSkip's weight of the long lists.
@@ -94,7 +96,7 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for _, _, data, offsets in text_chunks(batch["text"]):
+            for _, _, data, offsets in text_chunks(batch["text"], CHUNK):
                 rows += [(len(s), *_fingerprint(s)) for s in shingle_sets(data, offsets, k)]
             n, a, b = zip(*rows, strict=True) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays(
@@ -157,7 +159,7 @@ def _shared_counts(docs: DataFrame, k: int, percent: int, buckets: int) -> DataF
             )
 
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch["text"]):
+            for _, _, data, offsets in text_chunks(batch["text"], CHUNK):
                 for values in shingle_sets(data, offsets, k):
                     fp = _fingerprint(values)[0]
                     if not len(values) or fp in seen:
@@ -248,7 +250,7 @@ def _set_rows(docs: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch["text"]):
+            for _, _, data, offsets in text_chunks(batch["text"], CHUNK):
                 rows = []
                 for values in shingle_sets(data, offsets, k):
                     fp = _fingerprint(values)[0]
