@@ -1,15 +1,17 @@
 """Secret scans: fixed patterns, and strings that a primed compressor finds new.
 
-A random key shares nothing with the code around it nor with common identifiers. For each
-candidate in a sensitive context the marginal cost is measured: bytes of the compressed context
-with the candidate less those without it, both primed with a dictionary of identifiers. A word,
-a path or a repeated name costs a few bytes, a key nearly its entropy.
+A random key shares nothing with the code around it nor with common identifiers and word parts. For
+each distinct candidate in a sensitive context the marginal cost is measured: bytes of the compressed
+context with the candidate less those without it, both primed with a dictionary. Copies of the
+candidate are taken out of the context first, so a key that is written twice is as new as one written
+once. A word, a path or a common name costs a few bytes, a key nearly its entropy.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,16 +45,20 @@ SENSITIVE = re.compile(
 #: One of these is in every text that ``SENSITIVE`` matches, lower-cased.
 STEMS = ("passw", "passphrase", "secret", "token", "key", "credential", "bearer", "authori",
          "signature", "client", "conn")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Characters of the shortest candidate.
+SHORTEST = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 CONTEXT = 64
 #: Characters on each side that the compressor may draw on.
 SURROUNDING = 512
 #: Least marginal bytes per character of a reported candidate.
 NOVELTY = 0.62
+#: The same for letters of one case.
+ONE_CASE = 0.7
 #: Runs beyond this are measured in pieces of this length.
 PIECE = 4096
 
-#: Common identifiers that prime the compressor.
+#: Common identifiers and word parts that prime the compressor.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key client_id client_secret"
     " authorization bearer credential signature username user_name hostname localhost database"
@@ -62,6 +68,12 @@ IDENTIFIERS = (
     " public static void string integer boolean null true false undefined self this value key"
     " name type data id 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     " AAAAAAAA 00000000 xxxxxxxx XXXXXXXX -------- ======== ________"
+    " international communication representation responsibility understanding establishment"
+    " administration characteristic implementation initialization transformation interpretation"
+    " authentication compatibility serialization synchronization specification"
+    " verschiedenheit gesellschaft entwicklung wissenschaftlich möglichkeiten"
+    " gouvernement développement naturellement desarrollo conocimiento universidad"
+    " ABSTRACT INTERFACE IMPLEMENTATION CONFIGURATION INTERNATIONAL ENVIRONMENT_VARIABLE"
 )
 
 
@@ -75,21 +87,30 @@ def _compressor() -> zstandard.ZstdCompressor:
     )
 
 
-def marginal_bytes(candidate: str, before: str, after: str) -> int:
-    """Bytes that the candidate adds to its compressed surroundings."""
-    size = lambda text: len(_compressor().compress(text.encode()))
-    return size(before + after + candidate) - size(before + after)
+def marginal_bytes(candidate: str, surroundings: str, known: int | None = None) -> int:
+    """Bytes that the candidate adds to its compressed surroundings, which take ``known``."""
+    if known is None:
+        known = compressed_size(surroundings)
+    return compressed_size(surroundings + candidate) - known
+
+
+def compressed_size(text: str) -> int:
+    return len(_compressor().compress(text.encode()))
 
 
 def is_novel(text: str, start: int, end: int) -> bool:
-    """Whether every piece of the run costs at least ``NOVELTY`` bytes a character."""
-    if not any(x.isdigit() for x in text[start:end]):
-        return False
-    before = text[max(0, start - SURROUNDING) : start]
-    after = text[end : end + SURROUNDING]
-    for at in range(start, end, PIECE):
-        piece = text[at : min(at + PIECE, end)]
-        if len(piece) >= 16 and marginal_bytes(piece, before, after) < NOVELTY * len(piece):
+    """Whether every piece of the run costs at least ``NOVELTY`` bytes a character.
+
+    Letters of one case are as often long words as keys: they must cost ``ONE_CASE``.
+    """
+    run = text[start:end]
+    around = text[max(0, start - SURROUNDING) : start] + " " + text[end : end + SURROUNDING]
+    around = around.replace(run, " ")
+    least = ONE_CASE if run.isalpha() and (run.islower() or run.isupper()) else NOVELTY
+    known = compressed_size(around)
+    for at in range(0, len(run), PIECE):
+        piece = run[at : at + PIECE]
+        if len(piece) >= SHORTEST and marginal_bytes(piece, around, known) < least * len(piece):
             return False
     return True
 
@@ -109,23 +130,45 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover."""
+    starts, ends = [], []
+    for start, end in sorted((s, e) for _, s, e in spans):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def novel_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Candidates after a sensitive word that no base span touches and that are novel."""
+    """Candidates after a sensitive word that no base span touches and that are novel.
+
+    A distinct candidate is measured once, where it comes first. Only the characters within reach of
+    a sensitive word are searched, so the time grows with the text.
+    """
     low = text.lower()
     if not any(x in low for x in STEMS):
         return []
-    found = []
+    found, known = [], {}
     done = 0
-    taken = sorted((s, e) for _, s, e in base)
+    starts, ends = _merged(base)
     for word in SENSITIVE.finditer(text):
-        stop = word.end() + CONTEXT
-        for m in CANDIDATE.finditer(text, max(done, word.end())):
-            if m.start() >= stop:
+        at, stop = max(done, word.end()), word.end() + CONTEXT
+        while at < stop:
+            m = CANDIDATE.search(text, at, stop + SHORTEST)
+            if m is None or m.start() >= stop:
                 break
-            done = m.end()
-            if any(s < m.end() and m.start() < e for s, e in taken):
+            m = CANDIDATE.match(text, m.start())  # the whole run
+            at = done = m.end()
+            before = bisect_right(starts, m.end() - 1)
+            if before and ends[before - 1] > m.start():
                 continue
-            if is_novel(text, m.start(), m.end()):
+            run = m[0]
+            if run not in known:
+                known[run] = is_novel(text, m.start(), m.end())
+            if known[run]:
                 found.append((NOVEL, m.start(), m.end()))
     return found
 

@@ -24,6 +24,7 @@ def test_base_spans_follow_the_patterns():
         ("assign", "password:password=abcdefghijkl"),
         ("access", "AKIA" + "A1" * 8),
         ("hex", "deadbeefdeadbeef0"),
+        ("hex", "aaaaaaaaaaaaaaaa"),
     ]
 
 
@@ -32,9 +33,60 @@ def test_novelty_tells_keys_from_names():
     assert secrets.is_novel(before + KEY, len(before), len(before) + len(KEY))
     for dull in ("configuration_repository_default1", "AAAAAAAA00000000AAAAAAAA00000000"):
         assert not secrets.is_novel(before + dull, len(before), len(before) + len(dull))
-    repeated = f"{KEY} and once more the credential {KEY}"
-    at = repeated.rindex(KEY)
-    assert not secrets.is_novel(repeated, at, at + len(KEY))
+
+
+@pytest.mark.parametrize("key", [KEY, "QpzTxvWnKjrLmbHgFdscYqRtVwXk", "x7" + "q" * 3 + "Zp0vK2mWc9LtR5hNbD"])
+def test_copies_of_a_key_do_not_hide_each_other(key):
+    line = f"Authorization: Bearer {key}\n"
+    for text in (line, line * 2, line + "a word between\n" * 3 + line * 3):
+        got = [text[a:b] for _, a, b in secrets.novel_spans(text, [])]
+        assert got == [key] * text.count(key)
+
+
+def test_letters_alone_may_be_a_key():
+    r = random.Random(9)
+    found = 0
+    for _ in range(100):
+        key = "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=32))
+        found += bool(secrets.novel_spans(f"the bearer token was {key} until today", []))
+    assert found >= 97
+
+
+def test_time_grows_with_the_text():
+    from time import perf_counter
+
+    start = perf_counter()
+    assert secrets.novel_spans("token " * 400_000, []) == []
+    spans = secrets.base_spans("a token=abcdefghijkl " * 20_000)
+    assert secrets.novel_spans("a token=abcdefghijkl " * 20_000, spans) == []
+    assert perf_counter() - start < 20
+
+
+def plain_base_spans(text):
+    """The patterns tried at every place of a text, one kind after the other."""
+    words = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+    out = []
+    for kind, pattern, group, shortest in (
+        ("assign", re.compile(words, re.I | re.A), 2, 12),
+        ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18),
+        ("hex", re.compile("[0-9a-f]+"), 0, 16),
+    ):
+        at = 0
+        while at < len(text):
+            m = pattern.match(text, at)
+            if m and len(m[group]) >= shortest:
+                out.append((kind, m.start(), m.end()))
+            at = m.end() if m else at + 1
+    return sorted(out)
+
+
+def test_base_spans_of_random_texts():
+    r = random.Random(10)
+    parts = ["token", "Secret", "API_KEY", "apikey", "=", ": ", "'", '"', " ", "abcdef0123456789", "AKIA", "A1B2C3D4",
+             "x.y-z/", "deadbeef", "é", "ſ", "password", "\n", "==", "K"]
+    for _ in range(4000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 16)))
+        assert sorted(secrets.base_spans(text)) == plain_base_spans(text), text
 
 
 def test_secrets_of_hostile_documents(spark, hostile, nothing):
