@@ -17,7 +17,7 @@ import re
 import struct
 import unicodedata
 import zlib
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.llm.common import stored
+
 #: Windows of the tiers; the last is the longest sequence.
 TIERS = (128, 256, 512, 1024)
 #: Documents packed together, on average.
@@ -102,7 +104,8 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def cut(docs: DataFrame, tokenizer_path: str, ranks_path: str, window: int, end_id: int = 0) -> DataFrame:
     """Pieces of each document's ids and ``end_id``: full windows and a rest.
 
-    ``nth`` counts the documents of a task, so rows with one ``doc_id`` need not stay together.
+    ``nth`` counts the documents of a task, so rows with one ``doc_id`` need not stay together. A
+    task that runs again may see its rows in another order: write the pieces before dealing by it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,37 +136,62 @@ def tier_of(length: int, tiers: tuple[int, ...]) -> int:
     return next(t for t in tiers if length <= t)
 
 
+class Tier:
+    """The pieces routed to one context size, by length."""
+
+    def __init__(self) -> None:
+        self.by_length: dict[int, list[int]] = {}
+        self.lengths: list[int] = []
+
+    def add(self, i: int, n: int) -> None:
+        if n not in self.by_length:
+            self.by_length[n] = []
+            insort(self.lengths, n)
+        self.by_length[n].append(i)
+
+    def take(self, most: int) -> tuple[int, int] | None:
+        """The longest piece of at most ``most`` tokens, and its length."""
+        at = bisect_right(self.lengths, most)
+        if not at:
+            return None
+        n = self.lengths[at - 1]
+        i = self.by_length[n].pop()
+        if not self.by_length[n]:
+            del self.by_length[n]
+            self.lengths.pop(at - 1)
+        return i, n
+
+
 def pack_lengths(lengths: list[int], tiers: tuple[int, ...]) -> list[list[int]]:
     """Indexes of the pieces of each sequence; no sequence is longer than the last tier.
 
-    Pieces of a tier are kept by length. The longest piece left opens a sequence, and the longest
-    piece that fits its gap is added until none fits. A piece of exactly a tier's window that is
-    shorter than the last stays alone: it needs no padding.
+    Each piece is routed to its tier. A piece of exactly its tier's window is a sequence without
+    padding. Tiers are then packed from the longest down: the longest piece of a tier opens a long
+    window, and its gap is filled from the tier that the gap belongs to and then from shorter ones,
+    the longest piece that fits each time, until none does.
     """
     window = tiers[-1]
-    by_length: dict[int, list[int]] = {}
+    pools = {t: Tier() for t in tiers}
+    out = []
     for i, n in enumerate(lengths):
-        by_length.setdefault(n, []).append(i)
-    out = [[i] for n in tiers if n in by_length for i in by_length.pop(n)]
-    present = sorted(by_length)
-
-    def take(n: int) -> int:
-        i = by_length[n].pop()
-        if not by_length[n]:
-            present.remove(n)
-        return i
-
-    while present:
-        n = present[-1]
-        sequence, left = [take(n)], window - n
-        while left and present:
-            at = bisect_right(present, left)
-            if not at:
-                break
-            n = present[at - 1]
-            sequence.append(take(n))
-            left -= n
-        out.append(sequence)
+        tier = tier_of(n, tiers)
+        if n == tier:
+            out.append([i])
+        else:
+            pools[tier].add(i, n)
+    falling = sorted(tiers, reverse=True)
+    for tier in falling:
+        while opened := pools[tier].take(window):
+            i, n = opened
+            sequence, left = [i], window - n
+            while left:
+                fits = (pools[t].take(left) for t in falling if t <= tier_of(left, tiers))
+                filler = next((x for x in fits if x), None)
+                if filler is None:
+                    break
+                sequence.append(filler[0])
+                left -= filler[1]
+            out.append(sequence)
     return out
 
 
@@ -201,7 +229,7 @@ def pack(
         raise ValueError("tiers must be rising powers of two")
     window = tiers[-1]
     groups = max(1, -(-docs.count() // group_docs))
-    pieces = cut(docs, tokenizer_path, ranks_path, window).withColumn(
+    pieces = stored(cut(docs, tokenizer_path, ranks_path, window), "pieces").withColumn(
         "pack_group", F.pmod(F.xxhash64("doc_id", "nth"), F.lit(groups))
     )
     # A group with a missing id would turn all its ids into floating numbers.

@@ -96,6 +96,18 @@ def test_little_padding_and_even_steps():
     assert means.max() < 1.02 * means.min()
 
 
+def test_tiers_are_packed_from_the_longest_down():
+    # 1023 and 1000 open windows; 24 and 20 fill the gap of 1000, the rest of the short tier shares one.
+    lengths = [24, 1000, 1, 1023, 128, 20, 500, 70, 512]
+    packed = packing.pack_lengths(lengths, packing.TIERS)
+    assert packed == [[4], [8], [3, 2], [1, 0], [6, 7, 5]]
+    r = random.Random(6)
+    lengths = [r.choice([r.randint(1, 127), r.randint(1, 1024)]) for _ in range(2000)]
+    for sequence in packing.pack_lengths(lengths, packing.TIERS):
+        tiers = [packing.tier_of(lengths[i], packing.TIERS) for i in sequence]
+        assert tiers[0] == max(tiers)
+
+
 def test_schedule_is_longest_first():
     assert sharding.schedule([("a", 5), ("b", 4), ("c", 3), ("d", 3)], 2) == {
         "a": 0, "b": 1, "c": 1, "d": 0,
