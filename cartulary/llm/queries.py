@@ -192,6 +192,64 @@ FROM sets JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) ON doc_i
 """
 
 
+# CRC-32 bit by bit, as there is no function for it.
+_TRIE_SQL = r"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+    SELECT conv_id, turn, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words,
+        sha256(length(role) || ' ' || role || text) AS digest
+    FROM said
+), own AS (
+    SELECT conv_id, list(digest ORDER BY turn NULLS FIRST, digest) AS digests,
+        list(n_words ORDER BY turn NULLS FIRST, digest) AS counts
+    FROM turns GROUP BY conv_id
+), held AS (
+    SELECT conv_id, digests, counts, xor(list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(
+            range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: ascii(CAST(conv_id AS VARCHAR)[i])::BIGINT)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::BIGINT[]),
+            lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
+        ), 4294967295) % 4 AS h
+    FROM own
+), rebuilt AS (
+    SELECT c.conv_id,
+        list_concat(coalesce(r.digests, [])[1:c.h], c.digests[c.h + 1:]) AS digests,
+        list_concat(coalesce(r.counts, [])[1:c.h], c.counts[c.h + 1:]) AS counts
+    FROM held c LEFT JOIN own r ON r.conv_id = c.conv_id - c.conv_id % 20
+), members AS (
+    SELECT conv_id, digests, counts, unnest(range(0, len(digests) + 1)) AS d FROM rebuilt
+), nodes AS (
+    SELECT d, array_to_string(digests[1:d], ',') AS node, min(conv_id) AS conv_id, count(*) AS n_convs,
+        any_value(digests[1:d]) AS path, max(CASE WHEN d > 0 THEN counts[d] ELSE 0 END) AS n_words,
+        array_to_string(any_value(digests[1:d - 1]), ',') AS parent,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+            FILTER (WHERE len(digests) = d), '')) AS ends_sha256
+    FROM members GROUP BY d, node
+), families AS (
+    SELECT parent, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+), known AS (
+    SELECT n.*, coalesce(f.n_children, 0) AS n_children
+    FROM nodes n LEFT JOIN families f ON f.parent = n.node AND f.d = n.d
+), above AS (
+    SELECT n_children, (n_convs - 1) * n_words AS saved, path, unnest(range(0, d + 1)) AS d FROM known
+), sums AS (
+    SELECT d, array_to_string(path[1:d], ',') AS node, count(*) FILTER (WHERE n_children = 0) AS n_leaves,
+        CAST(sum(saved) AS BIGINT) AS saved_tokens
+    FROM above GROUP BY ALL
+)
+SELECT k.conv_id, k.d AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves,
+    s.saved_tokens, k.ends_sha256
+FROM known k JOIN sums s ON s.node = k.node AND s.d = k.d
+LEFT JOIN known p ON k.d > 0 AND p.node = k.parent AND p.d = k.d - 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Twins of what SQL expresses; learned models and tokenizers have none."""
-    return {"op8_chat_formatting": _CHAT_SQL, "op10_jaccard_join": _JACCARD_SQL}
+    return {
+        "op8_chat_formatting": _CHAT_SQL,
+        "op10_jaccard_join": _JACCARD_SQL,
+        "op11_prefix_trie": _TRIE_SQL,
+    }
