@@ -7,7 +7,12 @@ the right singular vectors and the singular values (Nystrom's form). Passages an
 are folded into the space, each direction divided by its singular value, so what all passages
 share weighs little. Windows near an item by cosine are candidates. A candidate is confirmed where
 the longest common subsequence of words covers enough of the item and enough of its answer, the
-item's last part.
+item's last part. What confirms an item has all but a quarter of its words, so most of its rarest
+ones; windows without enough rare words of any item are left out before any cosine, which loses
+none that could be confirmed.
+
+Copies need no cosine: a run of ``RUN`` words of an item, or a shorter item whole, confirms it
+wherever it stands. Long items are looked for in parts.
 
 Only sums over passages reach the driver: frequencies of the benchmark's words and matrices of
 their number times the rank. Texts become word numbers once, kept in the shared folder.
@@ -34,14 +39,22 @@ RANK = 64
 EXTRA = 8
 #: Lengths of windows in blocks, and their strides.
 WINDOWS = {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 2, 7: 2, 8: 2, 10: 2, 12: 3, 16: 4}
-#: Least cosine of a candidate.
-NEAR = 0.45
+#: Least cosine of a candidate. The filter by rare words leaves few windows, so it can be low.
+NEAR = 0.1
+#: Share of an item's words, the rarest, that the filter counts; above what a match may lack.
+RAREST = 0.4
+#: Words of an item that confirm it when copied in a row.
+RUN = 13
+#: Words of the longest part that is looked for as one.
+PART = 96
+#: Windows and items whose cosines are computed at once.
+TILE = 2048
 #: Least share of the item's words in order, and of its answer's.
 SHARED = 0.75
 ANSWER = 0.5
 #: A share of the item this high needs no answer check.
 SURE = 0.9
-#: Items with fewer words are too short to tell a copy from chance.
+#: Items with fewer words have too few to miss any, and are only looked for as copies.
 SHORTEST = 8
 #: Benchmark items handled in one run over the documents.
 ITEMS = 20_000
@@ -70,7 +83,7 @@ def read_items(rows: list[tuple[object, str | None]]) -> Items:
     for item_id, text in rows:
         data = np.frombuffer((text or "").lower().encode(), np.uint8)
         found, _ = words(data, np.array([0, len(data)]), _LETTERS)
-        if len(found) >= SHORTEST:
+        if len(found):
             ids.append(item_id)
             hashed.append(found)
     vocabulary = np.unique(np.concatenate(hashed)) if hashed else np.zeros(0, U64)
@@ -185,8 +198,13 @@ def _added(to: np.ndarray, values: np.ndarray, of: np.ndarray, n: int) -> np.nda
     return out
 
 
-def latent_space(numbered: DataFrame, kind: type, size: int, rank: int, extra: int, seed: int) -> np.ndarray:
-    """Maps word numbers to latent coordinates, the rows weighted and divided by singular values."""
+def latent_space(
+    numbered: DataFrame, kind: type, size: int, rank: int, extra: int, seed: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Maps word numbers to latent coordinates, the rows weighted and divided by singular values.
+
+    Also gives the passages that hold each word.
+    """
 
     def count_start():
         return [np.zeros(size), 0]
@@ -227,8 +245,8 @@ def latent_space(numbered: DataFrame, kind: type, size: int, rank: int, extra: i
     kept = singular[:rank] > max(singular[:1], default=0.0) * 1e-6
     right, singular = right[:, :rank][:, kept], singular[:rank][kept]
     if not len(singular):
-        return np.zeros((size, 1), np.float32)
-    return (weight[:, None] * right / singular).astype(np.float32)
+        return np.zeros((size, 1), np.float32), frequency
+    return (weight[:, None] * right / singular).astype(np.float32), frequency
 
 
 def common_subsequence(masks: dict[int, int], n: int, numbers: list[int]) -> int:
@@ -269,64 +287,194 @@ class Item:
         return (shared, answer) if shared >= SURE or answer >= ANSWER else None
 
 
-def _windows(blocks: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """First blocks of the windows of a length, and the windows' sums; the end is all zeros."""
-    starts = np.arange(0, len(blocks), WINDOWS[length])
-    total = blocks[starts]
-    for k in range(1, length):
-        more = blocks[k :: WINDOWS[length]]
-        total[: len(more)] += more
-    return starts, total
+def parts_of(n: int) -> list[slice]:
+    """The parts that an item of n words is looked for in, of about equal length."""
+    count = -(-n // PART)
+    edges = [n * i // count for i in range(count + 1)]
+    return [slice(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+
 
+class Copies:
+    """Runs of words that confirm an item: ``RUN`` of them, or all of a shorter one."""
 
-_FOUND = "doc_id long, item long, first_word long, cosine double, shared double, answer double"
+    _BASE = U64(0x9E3779B97F4A7C15)
 
+    def __init__(self, items: Items) -> None:
+        self.items = items
+        runs: dict[int, list[tuple[int, int]]] = {}
+        for i, sequence in enumerate(items.words):
+            n = min(RUN, len(sequence))
+            runs.setdefault(n, []).extend((i, at) for at in range(len(sequence) - n + 1))
+        self.runs = {}
+        for n, found in runs.items():
+            digests = np.array(
+                [int(self._digests(items.words[i], np.array([at]), n)[0]) for i, at in found], U64
+            )
+            order = np.argsort(digests, kind="stable")
+            self.runs[n] = digests[order], np.array(found)[order]
+
+    def _digests(self, numbers: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(len(at), U64)
+        for k in range(n):
+            out = (out + numbers[at + k].astype(U64) + U64(1)) * self._BASE
+            out ^= out >> U64(29)
+        return out
+
+    def find(self, numbers: np.ndarray, places: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
+        """First word and copied words of each ``row, item``; rows are ``places`` of ``numbers``."""
+        unknown = np.append(0, np.cumsum(numbers < 0))
+        row_end = np.repeat(places[1:], np.diff(places))
+        first: dict[tuple[int, int], int] = {}
+        held: dict[tuple[int, int], set[int]] = {}
+        for n, (digests, runs) in self.runs.items():
+            if n > len(numbers):
+                continue
+            at = np.flatnonzero(unknown[n:] == unknown[: len(unknown) - n])
+            at = at[at + n <= row_end[at]]
+            if not len(at):
+                continue
+            own = self._digests(numbers, at, n)
+            low = np.searchsorted(digests, own, "left")
+            high = np.searchsorted(digests, own, "right")
+            for k in np.flatnonzero(high > low).tolist():
+                begin = int(at[k])
+                row = int(np.searchsorted(places, begin, "right")) - 1
+                for item, start in runs[low[k] : high[k]].tolist():
+                    if (numbers[begin : begin + n] == self.items.words[item][start : start + n]).all():
+                        key = row, item
+                        first[key] = min(first.get(key, begin), begin)
+                        held.setdefault(key, set()).update(range(start, start + n))
+        return {k: (x - int(places[k[0]]), len(held[k])) for k, x in first.items()}
+
+
+@dataclass(frozen=True)
+class Scale:
+    """The parts that windows of one length are compared with.
 
-def _retrieve(numbered: DataFrame, kind: type, items: Items, space: np.ndarray) -> DataFrame:
+    A match has all but a quarter of a part's words, so of its rarest words, a larger share, it has
+    at least ``least``; they stand within ``around`` blocks of the window.
+    """
+
+    length: int
+    members: np.ndarray
+    rare: np.ndarray
+    least: int
+    around: int
+
+    def starts(self, numbers: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
+        """First blocks, of n, of the windows that may hold a match."""
+        counts = np.bincount(unit[self.rare[numbers]], minlength=n)
+        upto = np.append(0, np.cumsum(counts))
+        starts = np.arange(0, n, WINDOWS[self.length])
+        low = np.maximum(starts - self.around, 0)
+        high = np.minimum(starts + self.length + self.around, n)
+        return starts[upto[high] - upto[low] >= self.least]
+
+
+def _scales(parts: list[np.ndarray], frequency: np.ndarray) -> list[Scale]:
+    lengths = sorted(WINDOWS)
+    # The shortest windows that hold a part; a shorter one might stand at its edge.
+    nearest = np.array([next((w for w in lengths if w * UNIT >= len(x)), lengths[-1]) for x in parts])
+    out = []
+    for w in sorted(set(nearest.tolist())):
+        members = np.flatnonzero(nearest == w)
+        rare, least, longest = np.zeros(len(frequency), bool), [], 0
+        for x in (parts[i] for i in members):
+            n = len(x)
+            counted = int(np.ceil(RAREST * n))
+            rare[x[np.argsort(frequency[x], kind="stable")[:counted]]] = True
+            least.append(counted - (n - int(np.ceil(SHARED * n))))
+            longest = max(longest, n)
+        out.append(Scale(w, members, rare, min(least), -(-(longest // 2) // UNIT)))
+    return out
+
+
+_FOUND = (
+    "doc_id long, item long, first_word long, cosine double, shared double, answer double, copied long"
+)
+
+
+class Search:
+    """What a worker needs to look for the items in word numbers."""
+
+    def __init__(self, items: Items, space: np.ndarray, frequency: np.ndarray) -> None:
+        self.copies, self.space = Copies(items), space
+        self.of, parts = [], []
+        for i, x in enumerate(items.words):
+            for part in parts_of(len(x)) if len(x) >= SHORTEST else []:
+                self.of.append(i)
+                parts.append(x[part])
+        self.wanted = [Item(i, x) for i, x in zip(self.of, parts, strict=True)]
+        self.scales = _scales(parts, frequency)
+        self.longest = max((s.length for s in self.scales), default=1)
+        self.vectors = np.stack([space[x].sum(0) for x in parts]) if parts else np.zeros((0, space.shape[1]))
+        self.vectors /= np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-12)
+
+    def _near(self, numbers: np.ndarray, unit: np.ndarray, n: int) -> Iterator[tuple[int, int, int, float]]:
+        """Window's first block, its length in blocks, part and cosine of the candidates."""
+        kept = [(s, s.starts(numbers, unit, n)) for s in self.scales]
+        needed = np.zeros(n, bool)
+        for s, starts in kept:
+            for k in range(s.length):
+                needed[np.minimum(starts + k, n - 1)] = True
+        place = np.cumsum(needed) - 1
+        own = needed[unit]
+        blocks = _added(place[unit[own]], self.space, numbers[own], int(needed.sum()))
+        for s, all_starts in kept:
+            for at in range(0, len(all_starts), TILE):
+                starts = all_starts[at : at + TILE]
+                total = blocks[place[starts]]
+                for k in range(1, s.length):
+                    inner = starts + k < n
+                    total[inner] += blocks[place[starts[inner] + k]]
+                size = np.maximum(np.sqrt(np.einsum("ij,ij->i", total, total)), 1e-9)
+                for first in range(0, len(s.members), TILE):
+                    members = s.members[first : first + TILE]
+                    cosines = (total @ self.vectors[members].T) / size[:, None]
+                    for w, i in zip(*np.nonzero(cosines >= NEAR), strict=True):
+                        yield int(starts[w]), s.length, int(members[i]), float(cosines[w, i])
+
+    def rows(
+        self, numbers: np.ndarray, unit: np.ndarray, heads: np.ndarray, places: np.ndarray
+    ) -> Iterator[tuple]:
+        """``row, item`` and the rest of a result for what is found in some rows."""
+        copied = self.copies.find(numbers, places)
+        known = numbers >= 0
+        best: dict[tuple[int, int], list[tuple]] = {}
+        if known.any() and self.scales:
+            for start, length, part, cosine in self._near(numbers[known], unit[known], int(heads[-1])):
+                r = int(np.searchsorted(heads, start, "right")) - 1
+                found = best.setdefault((r, self.of[part]), [])
+                found.append((-cosine, start - int(heads[r]), length, part))
+        for key in sorted(copied.keys() | best.keys()):
+            r, item = key
+            first, words = copied.get(key, (None, None))
+            text = numbers[places[r] : places[r + 1]]
+            right = None
+            for cosine, a, length, part in sorted(best.get(key, [])):
+                around = self.wanted[part].n // 2
+                low = max(a * UNIT - around, 0)
+                right = self.wanted[part].confirm(text[low : (a + length) * UNIT + around].tolist())
+                if right:
+                    yield r, item, a * UNIT if first is None else first, -cosine, *right, words
+                    break
+            if right is None and words:
+                yield r, item, first, None, None, None, words
+
+
+def _retrieve(numbered: DataFrame, kind: type, items: Items, space: np.ndarray, frequency: np.ndarray) -> DataFrame:
     sc = numbered.sparkSession.sparkContext
-    shared = sc.broadcast((items, space))
+    shared = sc.broadcast((items, space, frequency))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        items, space = shared.value
-        wanted = [Item(i, x) for i, x in zip(items.ids, items.words, strict=True)]
-        vectors = np.stack([space[x].sum(0) for x in items.words])
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        lengths = np.array(sorted(WINDOWS))
-        nearest = [int(lengths[np.abs(lengths * UNIT - x.n).argmin()]) for x in wanted]
-        scales = {w: np.flatnonzero(np.array(nearest) == w) for w in sorted(set(nearest))}
-        longest = max(scales)
+        search = Search(*shared.value)
         for batch in batches:
             ids, rows = batch["doc_id"].to_pylist(), []
-            for first, numbers, unit, heads, places in _batches(
-                batch["words"], kind, UNIT, pad=longest - 1
-            ):
-                known = numbers >= 0
-                if not known.any():
-                    continue
-                blocks = _added(unit[known], space, numbers[known], int(heads[-1]))
-                best: dict[tuple[int, int], list[tuple[float, int]]] = {}
-                for w, members in scales.items():
-                    starts, total = _windows(blocks, w)
-                    size = np.sqrt(np.einsum("ij,ij->i", total, total))
-                    near = total @ vectors[members].T
-                    at, item = np.nonzero(near >= np.maximum(NEAR * size, 1e-9)[:, None])
-                    row = np.searchsorted(heads, starts[at], "right") - 1
-                    for r, i, a, cosine in zip(
-                        row, members[item], starts[at], near[at, item] / size[at], strict=True
-                    ):
-                        best.setdefault((int(r), int(i)), []).append((-float(cosine), int(a - heads[r])))
-                for (r, i), found in best.items():
-                    text = numbers[places[r] : places[r + 1]]
-                    around, length = wanted[i].n // 2, nearest[i] * UNIT
-                    for cosine, a in sorted(found):
-                        low = max(a * UNIT - around, 0)
-                        right = wanted[i].confirm(text[low : a * UNIT + length + around].tolist())
-                        if right:
-                            rows.append((ids[first + r], i, a * UNIT, -cosine, *right))
-                            break
+            for first, *of_rows in _batches(batch["words"], kind, UNIT, pad=search.longest - 1):
+                rows += [(ids[first + r], *rest) for r, *rest in search.rows(*of_rows)]
             names = [x.split()[0] for x in _FOUND.split(", ")]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            kinds = [pa.int64()] * 3 + [pa.float64()] * 3
+            kinds = [pa.int64()] * 3 + [pa.float64()] * 3 + [pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names
             )
@@ -340,13 +488,15 @@ def _retrieve(numbered: DataFrame, kind: type, items: Items, space: np.ndarray)
 def find_contaminated(
     docs: DataFrame, benchmark: DataFrame, rank: int = RANK, extra: int = EXTRA, seed: int = 7
 ) -> DataFrame:
-    """``doc_id, item_id, first_word, cosine, shared, answer``: items that documents contain.
-
-    One row for each document row and ``benchmark(item_id, text)`` item found in it, with the
-    best confirmed window. Words are runs of letters and digits, lower-cased. The whole
-    benchmark is compared, ``ITEMS`` at a time. Null and empty texts contain nothing, and items of
-    fewer than ``SHORTEST`` words or without text are not looked for. Repeated rows give repeated
-    results; other columns are not read.
+    """``doc_id, item_id, first_word, cosine, shared, answer, copied``: items that documents contain.
+
+    One row for each document row and ``benchmark(item_id, text)`` item found in it. ``copied`` is
+    the number of the item's words that stand in runs copied word for word (null without one);
+    ``cosine, shared, answer`` are those of the best confirmed window, null where only copies were
+    found. Words are runs of letters and digits, lower-cased. The whole benchmark is compared,
+    ``ITEMS`` at a time. Null and empty texts contain nothing, and items without words are not looked
+    for; those of fewer than ``SHORTEST`` words only as copies. Repeated rows give repeated results;
+    other columns are not read.
     """
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     parts = max(1, -(-rows.count() // ITEMS))
@@ -358,10 +508,10 @@ def find_contaminated(
             continue
         kind = np.uint16 if len(items.vocabulary) < 65_535 else np.uint32
         numbered = stored(_numbered(docs, items.vocabulary), "words")
-        space = latent_space(numbered, kind, len(items.vocabulary), rank, extra, seed)
-        found = _retrieve(numbered, kind, items, space)
+        space, frequency = latent_space(numbered, kind, len(items.vocabulary), rank, extra, seed)
+        found = _retrieve(numbered, kind, items, space, frequency)
         out = found if out is None else out.unionByName(found)
     if out is None:
-        none = "doc_id long, first_word long, cosine double, shared double, answer double, item_id long"
+        none = _FOUND.replace("item long", "item_id long")
         out = docs.sparkSession.createDataFrame([], none)
-    return out.select("doc_id", "item_id", "first_word", "cosine", "shared", "answer")
+    return out.select("doc_id", "item_id", "first_word", "cosine", "shared", "answer", "copied")
