@@ -26,12 +26,14 @@ from cartulary.plans.entities import (
     dashboard_report,
     dataset_report,
     knowledge_card_report,
+    typed_statistics,
     virtual_view_report,
 )
 from cartulary.plans.usage import (
     event_profile,
     event_properties,
     event_type_properties,
+    event_values,
     popular_filters,
     popular_queries,
     popularity,
@@ -84,6 +86,7 @@ __all__ = [
     "event_profile",
     "event_properties",
     "event_type_properties",
+    "event_values",
     "knowledge_card_report",
     "load_catalog",
     "load_catalog_files",
@@ -103,6 +106,7 @@ __all__ = [
     "sign_in_providers",
     "top_semantic_search_users",
     "top_sign_in_users",
+    "typed_statistics",
     "user_report",
     "virtual_view_report",
     "with_ordinals",

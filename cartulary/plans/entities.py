@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cartulary.functions.jsonx import VALUE, Field, quote, read_fields, read_for_filter
 from cartulary.operators.grain import ASSET_TAG, apply_grain
@@ -167,6 +168,22 @@ def dataset_report(
     return _entity_report(catalog, DATASETS, grain, semantics, tuning)
 
 
+# Statistics that are whole numbers, and their typed columns.
+_NUMBERS = {
+    "statistics_dataSizeBytes": "data_size_bytes",
+    "statistics_recordCount": "record_count",
+}
+
+
+def typed_statistics(report: DataFrame) -> DataFrame:
+    """A dataset report with its statistics as whole numbers beside the texts.
+
+    A text that is no whole number gives NULL.
+    """
+    typed = {new: F.expr(f"try_cast({quote(old)} AS BIGINT)") for old, new in _NUMBERS.items()}
+    return report.withColumns(typed)
+
+
 def dashboard_report(
     catalog: Catalog,
     grain: str = ASSET_TAG,

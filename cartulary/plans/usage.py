@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +67,34 @@ def event_type_properties(events: DataFrame) -> DataFrame:
     )
 
 
+def event_values(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row for each value that an event has in a property of its type, for all types at once.
+
+    The columns ``keep`` of the event, ``EVENT_TYPE`` as the dictionary names it, ``PROPERTY``,
+    ``COLUMN_NAME`` and ``VALUE`` as text. The columns are turned into rows and only the filled ones
+    that the dictionary lists for the type stay; its size is fixed.
+    """
+    present = {name.upper() for name in events.columns}
+    listed = event_dictionary(events.sparkSession).where("property IS NOT NULL")
+    columns = sorted(
+        {column_name(n) for names in event_properties_by_type().values() for n in names} & present
+    )
+    held = [F.col(x).alias(f"__{x}") for x in keep]
+    typed = events.select(
+        *held, entry_name().alias("entry"), *(F.col(c).cast("string").alias(c) for c in columns)
+    )
+    ids = [*(f"__{x}" for x in keep), "entry"]
+    filled = typed.unpivot(ids, columns, "column_name", "VALUE").where("VALUE IS NOT NULL")
+    named = listed.select(F.col("event_type").alias("entry"), "column_name", F.col("property").alias("PROPERTY"))
+    return filled.join(F.broadcast(named), ["entry", "column_name"]).select(
+        *(F.col(f"__{x}").alias(x) for x in keep),
+        F.col("entry").alias("EVENT_TYPE"),
+        "PROPERTY",
+        F.col("column_name").alias("COLUMN_NAME"),
+        "VALUE",
+    )
+
+
 #: Values shown of each property, at most.
 SAMPLES = 3
 
@@ -75,22 +105,14 @@ def event_profile(events: DataFrame) -> DataFrame:
     ``EVENT_TYPE, DESCRIPTION, PROPERTY, COLUMN_NAME, EVENTS, FILLED, SAMPLE_VALUES``: how often the
     type occurs, in how many of its events the property has a value, and up to three values, those
     of the least digests, so every run shows the same. Types that do not occur have zeros; a type
-    without properties has one row. The columns are turned into rows and only the filled ones that
-    the dictionary lists for the type stay; the counts combine before the shuffle.
+    without properties has one row. The counts combine before the shuffle.
     """
     spark = events.sparkSession
-    present = {name.upper() for name in events.columns}
     dictionary = event_dictionary(spark)
-    columns = sorted(
-        {column_name(n) for names in event_properties_by_type().values() for n in names} & present
-    )
-    typed = events.select(entry_name().alias("entry"), *(F.col(c).cast("string").alias(c) for c in columns))
-    filled = typed.unpivot("entry", columns, "column_name", "value").where("value IS NOT NULL")
-    listed = F.broadcast(dictionary.select(F.col("event_type").alias("entry"), "column_name").distinct())
-    samples = [F.expr(f"min_by(value, md5('{k}' || value))") for k in range(SAMPLES)]
+    samples = [F.expr(f"min_by(VALUE, md5('{k}' || VALUE))") for k in range(SAMPLES)]
     found = (
-        filled.join(listed, ["entry", "column_name"])
-        .groupBy("entry", "column_name")
+        event_values(events)
+        .groupBy(F.col("EVENT_TYPE").alias("entry"), F.col("COLUMN_NAME").alias("column_name"))
         .agg(F.count(F.lit(1)).alias("FILLED"), F.array_distinct(F.array(*samples)).alias("SAMPLE_VALUES"))
     )
     counts = events.groupBy(entry_name().alias("entry")).agg(F.count(F.lit(1)).alias("EVENTS"))

@@ -146,6 +146,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "event_profile": lambda spark, sf_dir: comparable(
             c.event_profile(derived_table(spark, sf_dir, "profile_events"))
         ),
+        "event_values": lambda spark, sf_dir: c.event_values(
+            derived_table(spark, sf_dir, "profile_events"), ["event_id"]
+        ),
+        "event_properties_template": lambda spark, sf_dir: c.event_properties(
+            derived_table(spark, sf_dir, "profile_events"), "PageViewEvent [page name]"
+        ),
         "event_ranking": _events(lambda e: c.ranking(e, "Search search attempted", "query")),
         "popular_queries_stored": _stored_events,
         "sample_events": _events(
@@ -187,6 +193,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "dataset_report_variant_input": _variant_input(c.dataset_report, _DATASETS),
         "dataset_report_stored": _stored_report,
+        "dataset_report_typed": _catalog(
+            lambda t: c.typed_statistics(c.dataset_report(t, grain="asset")), _DATASETS
+        ),
         "dataset_report_presto": _presto(c.dataset_report, _DATASETS),
         "dashboard_report": _catalog(c.dashboard_report, _DASHBOARDS),
         "dashboard_report_presto": _presto(c.dashboard_report, _DASHBOARDS),

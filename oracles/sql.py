@@ -418,13 +418,28 @@ def _edge_cases() -> str:
     return f"SELECT p_partkey AS id, {', '.join(columns)} FROM part"
 
 
+def _of_type(name: str) -> str:
+    prefix, bracket, _ = name.partition("[")
+    kept = f"starts_with(event_type, '{prefix}')" if bracket else f"event_type = '{name}'"
+    return f"FROM profile_events WHERE {kept}"
+
+
+def _event_values() -> str:
+    parts = [
+        f"SELECT event_id, '{name}' AS \"EVENT_TYPE\", '{p}' AS \"PROPERTY\", '{p.upper()}' AS \"COLUMN_NAME\", "
+        f"{p} AS \"VALUE\" {_of_type(name)} AND {p} IS NOT NULL"
+        for name, properties in event_properties_by_type().items()
+        for p in properties
+    ]
+    return _with("profile_events", {}, " UNION ALL ".join(parts))
+
+
 def _event_profile() -> str:
     """Each type and property apart, from the plain table."""
     table = event_properties_by_type()
     parts = []
     for name, properties in table.items():
-        prefix, bracket, _ = name.partition("[")
-        rows = f"FROM profile_events WHERE {f'starts_with(event_type, {chr(39)}{prefix}{chr(39)})' if bracket else f'event_type = {chr(39)}{name}{chr(39)}'}"
+        rows = _of_type(name)
         head = f"SELECT '{name}' AS \"EVENT_TYPE\", '{meaning(name)}' AS \"DESCRIPTION\", "
         for p in properties:
             samples = ", ".join(f"arg_min({p}, md5('{k}' || {p}))" for k in range(3))
@@ -498,6 +513,11 @@ def oracle_sql() -> dict[str, str]:
             "GROUP BY event_type, property",
         ),
         "event_profile": _event_profile(),
+        "event_values": _event_values(),
+        "event_properties_template": _with(
+            "profile_events", {},
+            f'SELECT hash AS "HASH", query AS "QUERY" {_of_type("PageViewEvent [page name]")}',
+        ),
         "event_ranking": _with(
             "usage_events", {},
             "SELECT query AS \"QUERY\", count(*) AS \"COUNT\", row_number() OVER (ORDER BY count(*) DESC, query NULLS FIRST) AS \"RANK\" "
@@ -537,6 +557,11 @@ def oracle_sql() -> dict[str, str]:
         "dataset_report_by_asset": _entity("datasets", _dataset_columns(), by_asset=True),
         "dataset_report_variant_input": _entity("datasets", _dataset_columns()),
         "dataset_report_stored": _entity("datasets", _dataset_columns()),
+        "dataset_report_typed": (
+            "SELECT *, TRY_CAST(statistics_dataSizeBytes AS BIGINT) AS data_size_bytes, "
+            "TRY_CAST(statistics_recordCount AS BIGINT) AS record_count "
+            f"FROM ({_entity('datasets', _dataset_columns(), by_asset=True)})"
+        ),
         "dataset_report_presto": _entity("datasets", _dataset_columns(True), nulls=True),
         "dashboard_report": _entity("dashboards", _dashboard_columns()),
         "dashboard_report_presto": _entity("dashboards", _dashboard_columns(True), nulls=True),
