@@ -279,7 +279,8 @@ def resolved_edges(
             edges = edges.withColumn(key, F.expr(f"coalesce({key}, {alone})"))
         found = lookup.withColumn(known, F.lit(True))
         edges = lookup_join(edges, found, key, lookup_key, "left", tuning)
-    return edges
+    # Edges to unknown rows go before they are gathered.
+    return edges.where(" OR ".join(f"({x})" for x in (IS_OWN, IS_TAG, IS_FOLLOWER, IS_CONTACT)))
 
 
 IS_TAG = f"kind = '{TAG}' AND known_resource"
