@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens a worker remembers, and the most characters of one.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 LONGEST = 64
 #: Characters of text whose pre-tokens are looked up together; a longer text is taken in parts.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 #: Pre-tokens taken at a time from a longer text, and new ones merged at a time.
 PIECES, MERGED = 65_536, 16_384
 
