@@ -8,6 +8,7 @@ really hot are split, found by a count that combines before its shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,27 +109,75 @@ def replicate_hot(df: DataFrame, key: str, hot: DataFrame, salt: str = "salt") -
     return _with_pieces(df, key, hot).selectExpr(*map(quote, df.columns), pieces)
 
 
+#: Pieces of pairs that a task joins on average, so that tasks are about as long as each other.
+TASK_PIECES = 8
+
+
+def _pair_pieces(left: DataFrame, right: DataFrame, key: str, weight: str, tuning: Tuning) -> DataFrame:
+    """``hot_key, pairs, l, r``: per key the rows its join makes and the pieces of its two sides.
+
+    Pieces of both sides are as large as each other where both are long, so that few rows are repeated;
+    ``l * r`` pieces make ``tuning.hot_pairs`` rows each. A side has no more pieces than rows.
+    """
+    rows, pairs = tuning.hot_rows, f"{tuning.hot_pairs}D"
+    held = right.where(f"{quote(key)} IS NOT NULL").groupBy(key)
+    counted = held.agg(F.expr("count(1) AS n_right"), F.expr(f"CAST(sum({weight}) AS DOUBLE) AS w"))
+    both = key_counts(left, key, "n_left").join(counted, key, "full_outer")
+    both = both.selectExpr(
+        f"{quote(key)} AS hot_key", *(f"coalesce({n}, 0) AS {n}" for n in ("n_left", "n_right", "w"))
+    ).selectExpr("*", "n_left * w AS pairs")
+    side = f"least({rows}, greatest(sqrt({pairs}), {pairs} / greatest(n_left, 1)))"
+    return both.selectExpr(
+        "*", f"greatest(least(n_right, ceil(w / {side})), 1) AS r"
+    ).selectExpr(
+        "hot_key",
+        "pairs",
+        f"greatest(ceil(n_left / {rows}), least(n_left, ceil(pairs / {pairs} / r)), 1) AS l",
+        "r",
+    )
+
+
 def fan_out_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
     left_by: Sequence[str],
     right_by: Sequence[str],
-    right_counts: DataFrame | None = None,
+    weight: str = "1",
     tuning: Tuning = DEFAULT_TUNING,
 ) -> DataFrame:
     """Inner join on ``key``, which may be hot on either side.
 
     The rows of a key hot on one side are split into pieces and the other side's rows of that
-    key are repeated for each. ``*_by`` are columns that tell the rows of a key apart.
+    key are repeated for each. ``*_by`` are columns that tell the rows of a key apart; ``weight`` is
+    what a row of the right side counts.
+
+    A key is hot by its rows, or by the pairs it makes: two sides of modest size can make very many.
+    Pairs are nothing that a shuffle sees, and AQE would merge small partitions that make long tasks.
+    So they are counted first, by a job of its own that returns one row with the hot keys, and where
+    they are many, both sides are dealt into as many partitions as the pairs need.
     """
-    hot_left = hot_keys(key_counts(left, key), key, tuning=tuning)
-    counted = key_counts(right, key) if right_counts is None else right_counts
-    hot_right = hot_keys(counted, key, tuning=tuning)
+    spark = left.sparkSession
+    found = _pair_pieces(left, right, key, weight, tuning)
+    total = found.agg(
+        F.expr("coalesce(sum(pairs), 0D) AS pairs"),
+        F.expr("collect_list(struct(hot_key, CAST(l AS INT) AS l, CAST(r AS INT) AS r)) FILTER (WHERE l * r > 1) AS hot"),
+    )
+    pairs, hot = total.first()
+    if not hot and pairs <= tuning.hot_pairs * TASK_PIECES:
+        return left.join(right, key)
+    pieces = spark.createDataFrame(hot, total.schema["hot"].dataType.elementType)
+    hot_left, hot_right = (pieces.selectExpr("hot_key", f"{n} AS pieces") for n in "lr")
     split_left = replicate_hot(
         spread_hot(left, key, hot_left, left_by, "__l"), key, hot_right, "__r"
     )
     split_right = replicate_hot(
         spread_hot(right, key, hot_right, right_by, "__r"), key, hot_left, "__l"
     )
-    return split_left.join(split_right, [key, "__l", "__r"]).drop("__l", "__r")
+    on = [key, "__l", "__r"]
+    tasks = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        math.ceil(pairs / tuning.hot_pairs / TASK_PIECES),
+    )
+    dealt = [df.repartition(tasks, *on) for df in (split_left, split_right)]
+    return dealt[0].join(dealt[1], on).drop("__l", "__r")

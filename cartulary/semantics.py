@@ -42,12 +42,16 @@ class Tuning:
     hot_rows
         A key with at least this many rows is hot and split into pieces of about this size. So hot
         keys are at most one for each ``hot_rows`` rows.
+    hot_pairs
+        Where two sides fan out against each other, a key that makes more rows than this is hot as
+        well, and its pieces make about this many rows each.
     lookups
         Told the rows and distinct keys of every look-up, see ``LookupCheck``.
     """
 
     broadcast_bytes: int | None = None
     hot_rows: int = 1_000_000
+    hot_pairs: int = 1_000_000
     lookups: LookupCheck | None = None
 
 

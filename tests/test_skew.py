@@ -110,3 +110,15 @@ def test_fan_out_with_both_sides_hot(spark, skewed):
     plain = skewed.join(right, "key")
     split = fan_out_join(skewed, right, "key", ["id"], ["rid"], tuning=Tuning(hot_rows=10))
     assert rows(split) == rows(plain)
+
+
+def test_pairs_of_a_key_are_split(spark):
+    """Two short sides of one key make many rows, which go to many tasks."""
+    left = spark.range(300).selectExpr("id", "'k' AS key")
+    right = spark.range(200).selectExpr("id AS rid", "'k' AS key").unionAll(spark.sql("SELECT 1L, NULL"))
+    joined = fan_out_join(left, right, "key", ["id"], ["rid"], tuning=Tuning(hot_pairs=1000))
+    assert joined.distinct().count() == joined.count() == 60_000
+    made = joined.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(made) > 4 and max(r["count"] for r in made) < 30_000
+    weighed = fan_out_join(left, right, "key", ["id"], ["rid"], "rid", Tuning(hot_pairs=1000))
+    assert rows(weighed) == rows(left.join(right, "key"))
