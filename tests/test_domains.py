@@ -211,6 +211,37 @@ def test_long_lists_stay_one_row(catalog):
         domain_report(tables, top_queries="some")
 
 
+def test_queries_of_an_asset_are_listed_once(catalog, spark):
+    """What meets the namespaces is one list for each asset, not a row for each query."""
+    cards = [(f"c{i}", query_card("D1", f"q{i}")) for i in range(40)]
+    tables = catalog([(f"x{i}", None, ["D1", "S1"], []) for i in range(30)], cards=cards)
+    text = domain_top_queries(tables)._jdf.queryExecution().optimizedPlan().toString()
+    above = text[: text.index("Join")]
+    assert "flatten(collect_list(queries" in above and "title" not in above
+    for tuning in (Tuning(), Tuning(broadcast_bytes=-1, hot_rows=7, hot_pairs=50)):
+        rows = domain_top_queries(tables, tuning=tuning).collect()
+        assert len(rows) == 30
+        assert all(sorted(q.title for q in r.top_queries) == sorted(f"q{i}" for i in range(40)) for r in rows)
+
+
+def test_report_with_many_cards_and_queries(catalog, monkeypatch):
+    """A namespace with many cards is made by many tasks, each row with all its queries."""
+    monkeypatch.setattr("cartulary.plans.domains.CELL_ROWS", 4)
+    cards = [(f"c{i}", text_card("x", f"text {i}")) for i in range(60)]
+    cards += [(f"q{i}", query_card("D1", f"q{i}")) for i in range(5)]
+    unit = {"name": "X", "detail": {"type": "DATA_UNIT"}}
+    tables = catalog([("x", None, ["D1"], [])], cards=cards, namespaces=[("x", unit), ("y", unit)])
+    rows = domain_report(tables).collect()
+    x = [r for r in rows if r.domain_id == "x"]
+    assert sorted(r.description for r in x) == sorted(f"text {i}" for i in range(60))
+    assert all(sorted(q.title for q in r.top_queries) == [f"q{i}" for i in range(5)] for r in x)
+    assert [r.top_queries for r in rows if r.domain_id == "y"] == [None]
+    optimized = domain_report(tables)._jdf.queryExecution().optimizedPlan().toString()
+    # The cells are joined above the cards, by the piece of the namespace.
+    top = next(line for line in optimized.splitlines() if "Join LeftOuter" in line)
+    assert "salt" in top
+
+
 def test_descendants_of_diamonds_are_pairs(build):
     levels = 6
     rows = [(f"{i}{side}", f"{i - 1}{up}", [], []) for i in range(1, levels) for side in "ab" for up in "ab"]
