@@ -148,9 +148,11 @@ def curated_dataset_report(
     if ordered:
         report = _sorted_by_description(report)
     # Rows and arrays are repeated after the sort, which moves the short form and whose order
-    # both steps keep.
+    # both steps keep. The copies of a name stand together, in the order of the names, so that what
+    # sorts such a long array only reads it.
     if tag_name_copies == REPEATED:
-        repeated = "flatten(array_repeat(tag_names, CAST(coalesce(n_cards, 1) AS INT)))"
+        copies = "CAST(coalesce(n_cards, 1) AS INT)"
+        repeated = f"flatten(transform(sort_array(tag_names), x -> array_repeat(x, {copies})))"
         kept = [quote(n) for n in report.columns if n not in ("tag_names", "n_cards")]
         report = report.selectExpr(*kept, f"{repeated} AS tag_names")
     return apply_grain(report.drop("card_id"), grain, VARIANT)

@@ -82,6 +82,14 @@ def test_two_cards_and_two_tags(catalog, tuning):
     assert all(sorted(r[NAMES]) == ["n1", "n2"] and r.n_cards == 2 for r in once)
 
 
+def test_copies_of_a_name_stand_together(catalog, tuning):
+    cards = [(f"c{i}", description("d", f"text {i}")) for i in range(3)]
+    tables = catalog([{"id": "d", "tags": ["T2", "T1"]}], cards)
+    rows = curated_dataset_report(tables, tag_name_copies="repeated", tuning=tuning).collect()
+    assert len(rows) == 6
+    assert all(r[NAMES] == ["n1"] * 3 + ["n2"] * 3 for r in rows)
+
+
 def test_only_production_datasets_with_fields(catalog, tuning):
     tables = catalog(
         [
