@@ -117,6 +117,7 @@ def curated_dataset_report(
     ordered: bool = True,
     tag_name_copies: str = ONCE,
     tuning: Tuning = DEFAULT_TUNING,
+    names_joined_by: str | None = None,
 ) -> DataFrame:
     """Production datasets with fields, one row per dataset, description card and tag.
 
@@ -124,6 +125,10 @@ def curated_dataset_report(
     be repeated; the result is linear in the cards. With ``'repeated'`` each tag name appears once
     per description card of the dataset, as a window over the joined rows gives it: that array
     grows with the number of cards on each of their rows.
+
+    With ``names_joined_by`` the names of a row, copies included, are one text in the order of the names,
+    joined by that text. It is made by repeating each name as a whole, so that it costs the bytes it
+    holds and nothing for each copy.
     """
     if tag_name_copies not in (REPEATED, ONCE):
         raise ValueError(f"tag_name_copies must be {REPEATED!r} or {ONCE!r}")
@@ -147,15 +152,22 @@ def curated_dataset_report(
     )
     if ordered:
         report = _sorted_by_description(report)
-    # Rows and arrays are repeated after the sort, which moves the short form and whose order
+    # Rows and names are repeated after the sort, which moves the short form and whose order
     # both steps keep. The copies of a name stand together, in the order of the names, so that what
     # sorts such a long array only reads it.
+    copies = F.expr("CAST(coalesce(n_cards, 1) AS INT)") if tag_name_copies == REPEATED else F.lit(1)
+    as_text = names_joined_by is not None
+    ordered_names = F.sort_array("tag_names")
+    if as_text:
+        by = F.lit(names_joined_by)
+        runs = F.transform(ordered_names, lambda x: F.concat(F.repeat(F.concat(x, by), copies - 1), x))
+        report = report.withColumn("tag_names", F.array_join(runs, names_joined_by))
+    elif tag_name_copies == REPEATED:
+        runs = F.transform(ordered_names, lambda x: F.array_repeat(x, copies))
+        report = report.withColumn("tag_names", F.flatten(runs))
     if tag_name_copies == REPEATED:
-        copies = "CAST(coalesce(n_cards, 1) AS INT)"
-        repeated = f"flatten(transform(sort_array(tag_names), x -> array_repeat(x, {copies})))"
-        kept = [quote(n) for n in report.columns if n not in ("tag_names", "n_cards")]
-        report = report.selectExpr(*kept, f"{repeated} AS tag_names")
-    return apply_grain(report.drop("card_id"), grain, VARIANT)
+        report = report.drop("n_cards")
+    return apply_grain(report.drop("card_id"), grain, VARIANT, as_text)
 
 
 def curated_dataset_places(
@@ -178,6 +190,9 @@ def _sorted_by_description(report: DataFrame) -> DataFrame:
     """Descriptions ascending, missing ones last.
 
     Equal descriptions are ordered further, so that the range partitions of the sort can
-    split them.
+    split them. Their number is fixed: AQE would merge them by the bytes of the short form, and each
+    row becomes much longer in the task that reads it.
     """
-    return report.orderBy(F.col("schema_description").asc_nulls_last(), "id", "card_id")
+    order = (F.col("schema_description").asc_nulls_last(), F.col("id").asc(), F.col("card_id").asc())
+    ranges = int(report.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return report.repartitionByRange(ranges, *order).sortWithinPartitions(*order)

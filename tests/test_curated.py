@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from cartulary import Catalog, curated_dataset_report, merged_descriptions
 
@@ -90,6 +91,38 @@ def test_copies_of_a_name_stand_together(catalog, tuning):
     assert all(r[NAMES] == ["n1"] * 3 + ["n2"] * 3 for r in rows)
 
 
+def test_names_as_one_text(catalog, tuning):
+    """The text of all copies is that of the sorted array, and no array of the copies is made."""
+    cards = [(f"c{i}", description("d", f"text {i}")) for i in range(3)]
+    cards += [("e", description("one card", "x")), ("f", description("no tags", "x"))]
+    tables = catalog(
+        [{"id": "d", "tags": ["T2", "T1"]}, {"id": "one card", "tags": ["T2"]}, {"id": "no card", "tags": ["T1"]},
+         {"id": "no tags"}, {"id": "unknown tag", "tags": ["T9"]}],
+        cards,
+    )
+    for copies in ("repeated", "once"):
+        arrays, joined = (
+            curated_dataset_report(tables, tag_name_copies=copies, tuning=tuning, **more)
+            for more in ({}, {"names_joined_by": "|"})
+        )
+        assert "array_repeat" not in joined._jdf.queryExecution().optimizedPlan().toString()
+        assert joined.columns == arrays.columns
+        got = [r.asDict() for r in joined.collect()]
+        want = [r.asDict() | {NAMES: "|".join(sorted(r[NAMES]))} for r in arrays.collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        assert {r["id"] for r in got if r[NAMES] == ""} == {"no tags", "unknown tag"}
+
+
+def test_sorted_rows_stay_in_many_tasks(catalog, spark):
+    """Rows are short when they are sorted and long when they are read: no task reads most of them."""
+    tables = catalog([{"id": f"d{i:03}", "tags": ["T1"]} for i in range(200)])
+    report = curated_dataset_report(tables, tag_name_copies="repeated")
+    ids = [r.id for r in report.collect()]
+    assert ids == sorted(ids)
+    made = report.groupBy(F.spark_partition_id()).count().collect()
+    assert len(made) > 1 and max(r["count"] for r in made) < 150
+
+
 def test_only_production_datasets_with_fields(catalog, tuning):
     tables = catalog(
         [
