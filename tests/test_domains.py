@@ -1,6 +1,8 @@
+import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cartulary import (
     Catalog,
@@ -224,6 +226,77 @@ def test_queries_of_an_asset_are_listed_once(catalog, spark):
         assert all(sorted(q.title for q in r.top_queries) == sorted(f"q{i}" for i in range(40)) for r in rows)
 
 
+def joined(cell):
+    """The text of a cell by brute force: its queries as JSON without missing fields, ordered."""
+    if cell is None:
+        return None
+    texts = [{k: v for k, v in q.asDict().items() if v is not None} for q in cell]
+    return "|".join(sorted(json.dumps(t, separators=(",", ":")) for t in texts))
+
+
+LAYOUTS = (Tuning(), Tuning(hot_pairs=3), Tuning(broadcast_bytes=-1, hot_rows=4, hot_pairs=20))
+
+
+@pytest.fixture
+def shared_lists(catalog):
+    """Namespaces that share a long list, hold several, hold one twice, or none; a null id, a null asset."""
+    cards = [(f"a{i}", query_card("D1", f"q{i}", query="SELECT 1")) for i in range(25)]
+    cards += [(f"b{i}", query_card("S1", f"p{i}", explanations=[{"explanation": "why"}])) for i in range(6)]
+    cards += [("c", query_card("V1", None, query="x|y")), ("e", query_card("V1", None))]
+    cards += [(f"t{i}", text_card("x0", f"text {i}")) for i in range(9)]
+    listed = [(f"x{i}", None, ["D1"], ["S1"] if i % 3 else ["V1", "S1"]) for i in range(12)]
+    listed += [("twice", "x0", ["D1"], []), ("twice", "x1", ["D1", "V1"], []), ("other", None, ["V1"], [None])]
+    listed += [("none", None, ["D2", None], []), (None, None, ["D1"], []), ("half", None, None, ["D1"])]
+    unit = {"name": "X", "detail": {"type": "DATA_UNIT"}}
+    names = [f"x{i}" for i in range(12)] + ["twice", "other", "none", "half", "gone"]
+    return catalog(listed, cards=cards, namespaces=[(n, unit) for n in names])
+
+
+@pytest.mark.parametrize("layout", LAYOUTS, ids=["plain", "small blocks", "split"])
+def test_cells_as_one_text(shared_lists, layout):
+    arrays = domain_top_queries(shared_lists, tuning=layout).collect()
+    got = domain_top_queries(shared_lists, tuning=layout, queries_joined_by="|").collect()
+    assert sorted((str(r.id), r.top_queries) for r in got) == sorted(
+        (str(r.id), joined(r.top_queries)) for r in arrays
+    )
+    cells = {r.id: r.top_queries for r in got}
+    assert cells["twice"].count('"q3"') == 2 and cells["none"] is None and cells[None] is None
+    assert cells["other"] == '{"query":"x|y"}'
+
+
+def test_report_with_cells_as_one_text(shared_lists, monkeypatch):
+    monkeypatch.setattr("cartulary.plans.domains.CELL_ROWS", 4)
+    for layout in LAYOUTS[:2]:
+        arrays = domain_report(shared_lists, tuning=layout)
+        report = domain_report(shared_lists, tuning=layout, queries_joined_by="|")
+        assert report.columns == arrays.columns
+        want = [(r.domain_id, r.description, joined(r.top_queries)) for r in arrays.collect()]
+        got = [(r.domain_id, r.description, r.top_queries) for r in report.collect()]
+        assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 25
+
+
+def test_text_cells_are_not_gathered(shared_lists):
+    """The last join makes the cells: nothing above it groups or moves them."""
+    for report in (domain_top_queries, domain_report):
+        df = report(shared_lists, queries_joined_by="|")
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        above = text[: text.index("Join")]
+        assert "array_join" in above
+        assert not any(word in above for word in ("Aggregate", "Repartition", "Sort "))
+
+
+def test_a_list_goes_to_a_block_once(catalog):
+    """Cells that share their lists share the block that holds them."""
+    cards = [(f"c{i}", query_card("D1", f"q{i}")) for i in range(10)]
+    tables = catalog([(f"x{i}", None, ["D1", "S1"], []) for i in range(40)], cards=cards)
+    df = domain_top_queries(tables, queries_joined_by="|", tuning=Tuning(hot_pairs=100))
+    rows = df.select("id", "top_queries", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == 40 and len({r.top_queries for r in rows}) == 1
+    assert 1 < len({r.task for r in rows})  # 400 queries in 4 blocks
+    (one,) = {r.top_queries for r in rows}
+    assert one == "|".join(f'{{"title":"q{i}"}}' for i in range(10))
+
+
 def test_report_with_many_cards_and_queries(catalog, monkeypatch):
     """A namespace with many cards is made by many tasks, each row with all its queries."""
     monkeypatch.setattr("cartulary.plans.domains.CELL_ROWS", 4)
